@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import chat, licences
 from tessera.llm.common import table
 
 
@@ -27,8 +28,30 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import rendered_conversations
+
+    return rendered_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op6_tiff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.common import stage
+    from tessera.llm.tiff import media_digests, stored
+
+    return media_digests(stage(stored(table(spark, sf_dir, "documents")), "tiff"))
+
+
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licences import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op5_chat_snapshots": op5_chat_snapshots,
+    "op6_tiff_columns": op6_tiff_columns,
+    "op10_license_digests": op10_license_digests,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat_snapshots": chat.ORACLE, "op10_license_digests": licences.oracle()}
