@@ -41,6 +41,14 @@ def op6_tiff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(stage(stored(table(spark, sf_dir, "documents")), "tiff"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licences import license_scan
 
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op5_chat_snapshots": op5_chat_snapshots,
     "op6_tiff_columns": op6_tiff_columns,
+    "op7_language_id": op7_language_id,
     "op10_license_digests": op10_license_digests,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_snapshots": chat.ORACLE, "op10_license_digests": licences.oracle()}
