@@ -55,6 +55,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.vectors import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licences import license_scan
 
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_snapshots": op5_chat_snapshots,
     "op6_tiff_columns": op6_tiff_columns,
     "op7_language_id": op7_language_id,
+    "op8_vantage_point_search": op8_vantage_point_search,
     "op10_license_digests": op10_license_digests,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_snapshots": chat.ORACLE, "op10_license_digests": licences.oracle()}
