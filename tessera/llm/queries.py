@@ -64,6 +64,12 @@ def op8_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
 
 
+def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licences import license_scan
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tiff_columns": op6_tiff_columns,
     "op7_language_id": op7_language_id,
     "op8_vantage_point_search": op8_vantage_point_search,
+    "op9_setsketch_near_duplicates": op9_setsketch_near_duplicates,
     "op10_license_digests": op10_license_digests,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_snapshots": chat.ORACLE, "op10_license_digests": licences.oracle()}
