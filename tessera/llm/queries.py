@@ -28,6 +28,12 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import find
 
@@ -79,6 +85,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_line_chunk_dedup": op3_line_chunk_dedup,
     "op4_pii_spans": op4_pii_spans,
     "op5_chat_snapshots": op5_chat_snapshots,
     "op6_tiff_columns": op6_tiff_columns,
