@@ -1,0 +1,205 @@
+import random
+
+import pytest
+
+from tessera import errors
+from tessera.session import Engine
+
+USERS = ["CREATE TABLE users (id INT PRIMARY KEY, name TEXT NOT NULL, age INT)", "INSERT INTO users VALUES (1, 'Alice', 30), (2, 'Bob', NULL), (3, 'Carol', 28)"]
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/db")
+    for s in USERS:
+        e.sql(s)
+    return e
+
+
+def rows(e, text):
+    return [tuple(r) for r in e.sql(text).rows()]
+
+
+def test_null_is_lowest_and_equal_to_itself(engine):
+    assert rows(engine, "SELECT id FROM users WHERE age < 30 ORDER BY id") == [(2,), (3,)]
+    assert rows(engine, "SELECT id FROM users WHERE age != 28 ORDER BY id") == [(1,), (2,)]
+    assert rows(engine, "SELECT id FROM users ORDER BY age") == [(2,), (3,), (1,)]
+    assert rows(engine, "SELECT id FROM users ORDER BY age DESC") == [(1,), (3,), (2,)]
+
+
+def test_order_by_prefers_output_names(engine):
+    assert rows(engine, "SELECT -id AS id FROM users ORDER BY id LIMIT 1") == [(-3,)]
+    assert rows(engine, "SELECT name FROM users ORDER BY id DESC LIMIT 1") == [("Carol",)]
+
+
+def test_insert_checks(engine):
+    for text, error in (
+        ("INSERT INTO users VALUES (1, 'x', 1)", errors.DuplicateKey), ("INSERT INTO users VALUES (7, 'x', 1), (7, 'y', 2)", errors.DuplicateKey),
+        ("INSERT INTO users VALUES (7, NULL, 1)", errors.NotNullViolation), ("INSERT INTO users VALUES (7, 'x')", errors.ColumnCountMismatch),
+        ("INSERT INTO users (id, name) VALUES (7, 'x')", errors.ColumnCountMismatch), ("INSERT INTO users (id, name, name) VALUES (7, 'x', 'y')", errors.DuplicateName),
+        ("INSERT INTO users VALUES ('7', 'x', 1)", errors.TypeMismatch), ("INSERT INTO users VALUES (id, 'x', 1)", errors.ColumnNotFound),
+        ("INSERT INTO nobody VALUES (1)", errors.TableNotFound), ("INSERT INTO engine_master VALUES (1)", errors.CatalogReadOnly),
+    ):
+        with pytest.raises(error):
+            engine.sql(text)
+    assert len(rows(engine, "SELECT * FROM users")) == 3
+
+
+def test_update_sees_old_values_and_checks_keys(engine):
+    assert rows(engine, "UPDATE users SET id = id + 10, age = id WHERE id <= 2 RETURNING id, age, (age + 1)") == [(11, 1, 2), (12, 2, 3)]
+    with pytest.raises(errors.DuplicateKey):
+        engine.sql("UPDATE users SET id = 3")
+    with pytest.raises(errors.NotNullViolation):
+        engine.sql("UPDATE users SET name = NULL")
+    assert engine.sql("UPDATE users SET age = NULL WHERE id > 100").rows_affected == 0
+    assert rows(engine, "SELECT id FROM users ORDER BY id") == [(3,), (11,), (12,)]
+
+
+def test_delete_counts_or_returns(engine):
+    assert engine.sql("DELETE FROM users WHERE age IS NULL").rows_affected == 1
+    assert sorted(rows(engine, "DELETE FROM users RETURNING *")) == [(1, "Alice", 30), (3, "Carol", 28)]
+    assert rows(engine, "SELECT * FROM users") == []
+
+
+def test_transactions(engine):
+    for s in ("BEGIN TRANSACTION", "INSERT INTO users VALUES (4, 'Dave', 1)", "DELETE FROM users WHERE id = 1"):
+        engine.sql(s)
+    other = engine.session()
+    assert len(other.sql("SELECT * FROM users").rows()) == 3 and rows(engine, "SELECT id FROM users ORDER BY id") == [(2,), (3,), (4,)]
+    with pytest.raises(errors.TransactionError):
+        engine.sql("BEGIN TRANSACTION")
+    engine.sql("ROLLBACK")
+    assert len(rows(engine, "SELECT * FROM users")) == 3
+    with pytest.raises(errors.TransactionError):
+        engine.sql("COMMIT")
+
+
+def test_errors_in_transactions(engine):
+    engine.sql("BEGIN TRANSACTION")
+    engine.sql("DELETE FROM users WHERE id = 1")
+    with pytest.raises(errors.ParseError):
+        engine.sql("SELEC")
+    with pytest.raises(errors.ColumnNotFound):
+        engine.sql("SELECT nothing FROM users")
+    assert len(rows(engine, "SELECT * FROM users")) == 2  # still open
+    with pytest.raises(errors.ExecutionError):
+        rows(engine, "SELECT id / 0 FROM users")
+    assert len(rows(engine, "SELECT * FROM users")) == 3  # rolled back
+
+
+def test_writers_conflict(engine):
+    old = engine.begin()
+    engine.sql("DELETE FROM users WHERE id = 1")
+    assert len(old.sql("SELECT * FROM users").rows()) == 3
+    with pytest.raises(errors.TransactionError):
+        old.sql("DELETE FROM users WHERE id = 2")
+
+
+def test_reopen_and_recovery(spark, tmp_path, engine):
+    engine.sql("CREATE UNIQUE INDEX ages ON users (age)")
+    tx = engine.begin()
+    tx.sql("DELETE FROM users")  # never committed
+    again = Engine(spark, f"file://{tmp_path}/db")
+    assert len(rows(again, "SELECT * FROM users")) == 3
+    assert rows(again, "SELECT type, name, table_name FROM engine_master") == [("table", "users", "users"), ("index", "ages", "users")]
+    tx.rollback()
+    (tmp_path / "db/manifest/.draft-99-1").write_text("{")  # left by a crash
+    assert Engine(spark, f"file://{tmp_path}/db").catalog.version == engine.catalog.version
+    assert engine.vacuum() > 0 and len(rows(engine, "SELECT * FROM users")) == 3
+
+
+def test_indexes(engine):
+    with pytest.raises(errors.ColumnNotFound):
+        engine.sql("CREATE INDEX i ON users (nothing)")
+    engine.sql("CREATE UNIQUE INDEX i ON users (age)")
+    with pytest.raises(errors.IndexExists):
+        engine.sql("CREATE INDEX i ON users (age)")
+    with pytest.raises(errors.DuplicateKey):
+        engine.sql("INSERT INTO users VALUES (9, 'x', 30)")
+    engine.sql("INSERT INTO users VALUES (9, 'x', NULL)")
+    assert rows(engine, "SELECT id FROM users WHERE age = 30") == [(1,)]
+    engine.sql("CREATE TABLE d (id INT, v INT)")
+    engine.sql("INSERT INTO d VALUES (1, 5), (2, 5)")
+    with pytest.raises(errors.DuplicateKey):
+        engine.sql("CREATE UNIQUE INDEX i ON d (v)")
+
+
+def test_filters_reach_the_files(engine):
+    plan = "\n".join(r[0] for r in engine.sql("EXPLAIN SELECT id FROM users WHERE id < 3 AND name = 'Bob';").rows())
+    assert "LessThan(c0,3)" in plan and "EqualTo(c1,Bob)" in plan and "ReadSchema: struct<c0:bigint,c1:string>" in plan
+    assert "TakeOrderedAndProject" in "\n".join(r[0] for r in engine.sql("EXPLAIN SELECT id FROM users ORDER BY age DESC LIMIT 2").rows())
+
+
+def test_null_bool_operands_fail(engine):
+    engine.sql("CREATE TABLE b (id INT, f BOOL)")
+    engine.sql("INSERT INTO b VALUES (1, NULL), (2, TRUE)")
+    assert rows(engine, "SELECT id FROM b WHERE f") == [(2,)]
+    with pytest.raises(errors.ExecutionError):
+        rows(engine, "SELECT id FROM b WHERE f AND id = 1")
+
+
+def test_many_inserts_in_a_transaction_make_one_file(engine):
+    engine.sql("CREATE TABLE many (id INT PRIMARY KEY, v TEXT)")
+    engine.sql("BEGIN TRANSACTION")
+    for k in range(300):
+        engine.sql(f"INSERT INTO many VALUES ({k}, 'v{k}')")
+    with pytest.raises(errors.DuplicateKey):
+        engine.sql("INSERT INTO many VALUES (7, 'again')")
+    assert rows(engine, "SELECT * FROM many") == []
+    engine.sql("BEGIN TRANSACTION")
+    for k in range(300):
+        engine.sql(f"INSERT INTO many VALUES ({k}, 'v{k}')")
+    engine.sql("COMMIT")
+    assert len(engine.catalog.table("many").files) == 1 and len(rows(engine, "SELECT * FROM many")) == 300
+
+
+def test_append(spark, engine):
+    df = spark.createDataFrame([(5, "E", 1), (6, "F", None)], "id int, name string, age long")
+    assert engine.append("users", df).rows_affected == 2
+    with pytest.raises(errors.DuplicateKey):
+        engine.append("users", df)
+    with pytest.raises(errors.TypeMismatch):
+        engine.append("users", df.selectExpr("cast(id as string) id", "name", "age"))
+    assert len(rows(engine, "SELECT * FROM users")) == 5
+
+
+def test_text_table(engine):
+    assert engine.sql("SELECT id, name FROM users WHERE id = 1").to_text() == '+----+---------+\n| id | name    |\n+----+---------+\n| 1  | "Alice" |\n+----+---------+\n(1 rows)'
+    assert engine.sql("DELETE FROM users").to_text() == "3 rows affected"
+
+
+def test_random_statements_against_a_dict(spark, tmp_path):
+    r = random.Random(4)
+    e = Engine(spark, f"file://{tmp_path}/m")
+    e.sql("CREATE TABLE m (id INT PRIMARY KEY, v INT)")
+    state, saved = {}, None
+    for _ in range(45):
+        k, v = r.randint(1, 12), r.randint(0, 5)
+        match r.choice(["insert", "insert", "update", "delete", "begin", "end"]):
+            case "insert":
+                if k in state:
+                    with pytest.raises(errors.DuplicateKey):
+                        e.sql(f"INSERT INTO m VALUES ({k}, {v})")
+                    if saved is not None:
+                        state, saved = saved, None
+                else:
+                    e.sql(f"INSERT INTO m VALUES ({k}, {v})")
+                    state = state | {k: v}
+            case "update":
+                n = e.sql(f"UPDATE m SET v = v + id WHERE v <= {v}").rows_affected
+                assert n == sum(x <= v for x in state.values())
+                state = {a: b + a if b <= v else b for a, b in state.items()}
+            case "delete":
+                e.sql(f"DELETE FROM m WHERE id = {k} OR v > 20")
+                state = {a: b for a, b in state.items() if a != k and b <= 20}
+            case "begin" if saved is None:
+                e.sql("BEGIN TRANSACTION")
+                saved = state
+            case "end" if saved is not None:
+                if r.random() < 0.5:
+                    e.sql("COMMIT")
+                else:
+                    e.sql("ROLLBACK")
+                    state = saved
+                saved = None
+        assert dict(rows(e, "SELECT * FROM m")) == state
