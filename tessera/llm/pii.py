@@ -280,10 +280,10 @@ def fit(spark: SparkSession) -> Model:
         order = np.argsort(-raw[mine])
         right = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
         enough = np.flatnonzero(right >= PRECISION)
-        # half-way between the last that counts and the next, and never below even odds
+        # half-way between the last that counts and the next; even odds where all count, and never below
         s = raw[mine][order]
         last = enough[-1] if len(enough) else -1
-        least.append((k, float("inf") if last < 0 else max(0.0, float((s[last] + s[last + 1]) / 2 if last + 1 < len(s) else s[last]))))
+        least.append((k, float("inf") if last < 0 else max(0.0, float((s[last] + s[last + 1]) / 2)) if last + 1 < len(s) else 0.0))
     fit.known = Model(start, trees, tuple(least))
     return fit.known
 
