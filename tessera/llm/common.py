@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -40,6 +42,23 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+#: Staged folders that are still there, and the session of each.
+_staged: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Results read staged folders until the driver ends; then they go."""
+    for path, spark in list(_staged.items()):
+        with contextlib.suppress(Exception):  # a session that has stopped leaves its files to the cluster
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -47,15 +66,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _staged[path] = spark
     return out
 
 
 def unstage(df: DataFrame) -> None:
     """Delete a staged frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.staged_path)
+    _staged.pop(df.staged_path, None)
 
 
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
