@@ -221,12 +221,16 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[dict]:
         body = [d(4) for _ in range(r.randint(3, 6))]
         return a(2, upper) + d(2) + r.choice(["", " "]) + r.choice(["", " "]).join(body)
 
+    def hidden() -> str:
+        gap, name = r.choice(["", " "]), a(r.randint(2, 9)) + r.choice(["", "", "." + a(r.randint(2, 6)), d(2)])
+        return gap.join([name, r.choice(["(at)", "[at]", "{at}"]), a(r.randint(3, 10)), r.choice(["(dot)", "[dot]", "{dot}"]), r.choice(["com", "org", "net", "de", "io"])])
+
     kinds = [
         (1, ["call me at ", "phone: ", "tel. ", "mobile ", "fax: ", "reach us on cell "], phone),
         (1, ["", "or ", "the "], lambda: f"({d(3)}) {d(3)}-{d(4)}"),
         (1, ["SSN ", "ssn: ", "social security number ", "tax id: "], lambda: f"{d(3)}-{d(2)}-{d(4)}"),
         (1, ["IBAN ", "account: ", "wire to ", "bank account "], iban),
-        (1, ["mail me: ", "contact ", "write to ", ""], lambda: f"{a(r.randint(3, 9))}{r.choice(['', '.'])}{a(4)} {r.choice(['(at)', '[at]'])} {a(6)} {r.choice(['(dot)', '[dot]'])} com"),
+        (1, ["mail me: ", "contact ", "write to ", ""], hidden),
         (1, ['token = "', "api_key: ", 'secret="', "password=", "Bearer ", "auth token "], lambda: a(r.choice([20, 24, 32, 40]), r.choice([hexes, mixed]))),
         (0, ["version ", "build ", "model ", "part ", "item ", "ref "], lambda: f"{d(2)}{(s := sep())}{d(2)}{s}{d(4)}"),
         (0, ["on ", "date ", "of ", "the "], lambda: f"{r.randint(10, 31)}{(s := sep())}{r.randint(10, 12)}{s}{r.choice(['19', '20'])}{d(2)}"),
