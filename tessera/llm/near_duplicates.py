@@ -13,9 +13,10 @@ and two sets agree in a register at least as often as they have elements in comm
 4. Pairs are verified on full sets, at first the likeliest one of each class, then those that
    still join different components.
 5. What a star doesn't show: where a bucket's classes are in several components after that, its
-   classes of different components are compared too, sketch by sketch, in blocks of
-   ``BLOCK`` times ``BLOCK``; likely pairs are verified. So no pair that shares a bucket is left out
-   unless its two documents are in one component anyway.
+   classes of different components are compared too, in blocks of ``BLOCK`` times ``BLOCK``: by
+   their sketches, and on full sets where those are near the limit. A pair is compared in the first
+   band it shares; a block returns links that join components, fewer than its classes. So
+   no pair that shares a bucket is left out unless its two documents are in one component anyway.
 
 A pair at the limit shares no bucket with a probability below 1e-5; nothing is capped.
 
@@ -42,6 +43,7 @@ from tessera.llm.components import components
 
 WORDS, LIMIT = 5, 0.75
 BANDS, ROWS = 40, 5
+BAND_BITS = 6
 REGISTERS = BANDS * ROWS
 #: The scale of the registers: minima of rate ``RATE`` in powers of ``BASE``, cut to 0..255.
 BASE, RATE = 1.1, 20.0
@@ -142,6 +144,14 @@ def sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * 75
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are at least as similar as the limit."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 SKETCHES = "doc_id long, n long, digest binary, sketch binary, words binary"
 
 
@@ -212,9 +222,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for batch in slices(whole, "w_b", 1 << 20):
                 keep = []
                 for a, wa, b, wb in zip(*(batch.column(c).to_pylist() for c in ("a", "w_a", "b", "w_b")), strict=True):
-                    x, y = full(a, wa), full(b, wb)
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+                    keep.append(alike(full(a, wa), full(b, wb)))
                 kept = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 
@@ -222,8 +230,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """``key`` and ``id`` for each band of each class."""
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS))))
+    """``key`` and ``id`` for each band of each class; a key's lowest bits are its band's number."""
+    hashed = lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS)))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(hashed(i), BAND_BITS).bitwiseOR(i.cast("long")))
     return nodes.select("id", F.explode(band).alias("key"))
 
 
@@ -246,78 +255,91 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(more.join(labels.select("id"), "id", "left_anti")), "labels")
 
 
-def residual_pairs(keys: DataFrame, shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs of different components within buckets, compared in blocks."""
-    members = labelled(keys.join(shared.filter("size > 2").select("key"), "key"), "id", labels)
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y").select("key", "size")
-    rows = stage(members.join(mixed, "key"), "mixed")
+def linked_within(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, words: list[bytes], pair: np.ndarray, band: int) -> list[tuple[int, int]]:
+    """Verified links between components of a block's classes; ``pair`` has the chunk of each, of which two different ones are compared if there are two."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    sets: dict[int, np.ndarray] = {}
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(unpack.decompress(words[i]).split(b" "))
+        return sets[i]
+
+    two = bool((pair != pair[0]).any())
+    rows = sketch.reshape(len(ids), BANDS, ROWS)
+    label, out = label.copy(), []
+    for i in range(len(ids)):
+        k = np.flatnonzero((label != label[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i])) & ((pair != pair[i]) | (not two)))
+        if len(k):
+            same = rows[k] == rows[i]
+            whole = same.all(axis=2)
+            # registers that agree are the larger part wherever the likelihood peaks near the limit
+            k = k[(whole.argmax(axis=1) == band) & whole[:, band] & (same.mean(axis=(1, 2)) >= LEAST_ESTIMATE - 0.08)]
+        if len(k):
+            j = estimates(np.broadcast_to(sketch[i], (len(k), sketch.shape[1])), np.full(len(k), n[i]), sketch[k], n[k])
+            for x in k[(j >= LEAST_ESTIMATE)][np.argsort(-j[j >= LEAST_ESTIMATE], kind="stable")].tolist():
+                if label[x] != label[i] and alike(full(i), full(x)):
+                    out.append((int(ids[i]), int(ids[x])))
+                    label[label == label[x]] = label[i]
+    return out
+
+
+def residual_links(members: DataFrame, shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Verified links between different components within buckets, found in blocks."""
+    within = labelled(members.join(shared.filter("size > 2").select("key"), "key"), "id", labels)
+    mixed = within.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y").select("key", "size")
+    rows = within.join(mixed, "key").join(classes.select("id", "n", "sketch", "words"), "id")
     chunks = F.floor((F.col("size") - 1) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), chunks + 1).cast("int")
-    # a cell holds two chunks of a bucket, or one with itself; a chunk is in a cell with each other
-    rows = rows.join(nodes.select("id", "n", "sketch"), "id").withColumn("chunk", mine)
-    cells = rows.select("key", "id", "label", "n", "sketch", "chunk", F.explode(F.sequence(F.lit(0), chunks)).alias("other"))
-    cells = cells.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "id", "label", "n", "sketch")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks + 1).cast("int"))
+    # a cell holds two chunks of a bucket, or one alone; a chunk is in a cell with each other
+    cells = rows.select("key", "id", "label", "n", "sketch", "words", "chunk", F.explode(F.sequence(F.lit(0), chunks)).alias("other"))
+    cells = cells.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "id", "label", "n", "sketch", "words")
 
     def run(cell: pa.Table) -> pa.Table:
         ids, label, n, chunk = (cell.column(c).to_numpy() for c in ("id", "label", "n", "chunk"))
-        sketch = _byte_rows(cell.column("sketch").combine_chunks())
-        one = bool((chunk == chunk[0]).all())
-        c1, c2 = cell.column("c1")[0].as_py(), cell.column("c2")[0].as_py()
-        out_a, out_b = [], []
-        for i in range(len(ids)):
-            other = (label != label[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i]))
-            if c1 != c2:
-                other &= chunk != chunk[i]
-            elif not one:
-                continue
-            k = np.flatnonzero(other)
-            if len(k):
-                # registers that agree are the larger part wherever the likelihood peaks near the limit
-                k = k[(sketch[k] == sketch[i]).mean(axis=1) >= LEAST_ESTIMATE - 0.08]
-            if len(k):
-                j = estimates(np.broadcast_to(sketch[i], (len(k), sketch.shape[1])), np.full(len(k), n[i]), sketch[k], n[k])
-                k = k[j >= LEAST_ESTIMATE]
-                out_a += [ids[i]] * len(k)
-                out_b += ids[k].tolist()
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long").distinct()
+        out: list[tuple[int, int]] = []
+        if cell.column("c1")[0] == cell.column("c2")[0] or (chunk != chunk[0]).any():
+            sketch = _byte_rows(cell.column("sketch").combine_chunks())
+            out = linked_within(ids, label, n, sketch, cell.column("words").to_pylist(), chunk, cell.column("key")[0].as_py() & (1 << BAND_BITS) - 1)
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
     rows = stage(sketches(docs), "sketches")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = stage(classes, "classes")
-    # of the rows of a class, those of its smallest id; they are equal but for repeats
-    nodes = rows.filter("n > 0").join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    nodes = stage(nodes.select(F.col("doc_id").alias("id"), "digest", "n", "sketch", "words").dropDuplicates(["id", "digest"]), "nodes")
-    labels = _components_of(nodes)
-    found = rows.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    # equal sets have equal sizes and sketches
+    some = rows.filter("n > 0 and doc_id is not null")
+    nodes = stage(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    labels = _components_of(nodes, rows.select(F.col("doc_id").alias("id"), "words"))
+    found = rows.select("doc_id", "n", "digest").join(nodes.select("digest", "id"), "digest", "left")
+    found = found.select("doc_id", "n", F.coalesce("id", "doc_id").alias("rep"))
     out = labelled(found, "rep", labels)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(False)).alias("kept"))
 
 
-def _components_of(nodes: DataFrame) -> DataFrame:
-    """Components of classes (id, n, sketch, words): ``id`` and ``label`` where they differ."""
+def _components_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components of classes (id, n, sketch) with texts (id, words): ``id`` and ``label`` where they differ."""
     keys = bucket_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a")).filter("size > 1")
     shared = stage(shared, "buckets")
     members = stage(keys.join(shared.select("key"), "key", "left_semi"), "members")
+    # texts of the classes that share a bucket with another; the only time that texts are dealt out by id
+    asked = members.select("id").distinct()
+    classes = stage(texts.join(asked, "id", "left_semi").join(nodes.select("id", "n", "sketch"), "id"), "texts")
     stars = members.join(shared, "key").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
-    likely = stage(estimated(stars, nodes), "likely")
-    # the texts of classes that have a likely partner
-    asked = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    texts = stage(nodes.select("id", "words").join(asked, "id", "left_semi"), "texts")
+    likely = stage(estimated(stars, classes), "likely")
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b")
-    labels = stage(components(verified(first, texts)), "labels")
+    labels = stage(components(verified(first, classes)), "labels")
     rest = across(likely.join(first, ["a", "b"], "left_anti"), labels)
-    labels = joined(labels, stage(verified(rest, texts), "links"))
-    more = stage(residual_pairs(members, shared, nodes, labels).join(likely, ["a", "b"], "left_anti"), "residual")
+    labels = joined(labels, stage(verified(rest, classes), "links"))
+    more = stage(residual_links(members, shared, classes, labels), "residual")
     if not more.isEmpty():
-        asked = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-        labels = joined(labels, stage(verified(more, stage(nodes.select("id", "words").join(asked, "id", "left_semi"), "texts")), "links"))
-    for done in (shared, members, likely, texts, more):
+        labels = joined(labels, more)
+    for done in (shared, members, likely, classes, more):
         unstage(done)
     return labels
 
