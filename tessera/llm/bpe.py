@@ -35,6 +35,8 @@ from tessera.llm.common import doc_text, ship, slices
 CACHE_WORDS = 300_000
 #: Longer words are encoded anew each time.
 CACHE_CHARS = 64
+#: From here on the library splits words, as Unicode versions differ in what is a letter.
+BEYOND_LATIN = "\u0250"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -104,6 +106,16 @@ class Backtracking:
         self.pieces: dict[str, bytes] = {}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        self.path, self._library = path, None
+
+    @property
+    def library(self):
+        """The library's normalizer and splitter, whose Unicode version decides what newer characters are."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave a border between ``a`` and ``b``.
@@ -173,9 +185,11 @@ class Backtracking:
         return ids
 
     def plain(self, piece: str) -> bytes:
+        if piece and max(piece) >= BEYOND_LATIN:
+            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+            return np.array([i for w, _ in words for i in self.merge(w)], "<u4").tobytes()
         piece = unicodedata.normalize("NFC", piece)
-        piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
-        return b"".join(map(self.word, self.pattern.findall(piece)))
+        return b"".join(map(self.word, self.pattern.findall(piece.lower())))
 
     def piece(self, piece: str) -> bytes:
         """Ids of what stands between two spaces; no word of the pattern has a space."""

@@ -19,6 +19,7 @@ ignored. Ranks are by bucket and then by all columns of a piece, so a task that
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -37,6 +38,8 @@ MAX_STEPS = 20_000
 #: Pieces in a hash bucket, about.
 BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Scripts that newer Unicode versions extend; a text with one is left to the library whose ids are asked for.
+NEWER_SCRIPTS = re.compile("[\U00010000-\U0001efff\U0001fb00-\U0010ffff\u0c5d\u0cf3\u1c89\u1c8a\ua7c0-\ua7f1]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -64,6 +67,14 @@ class ByteEncoder:
         self.whole = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.kept: dict[str, bytes] = {}
+        self.path, self._library = path, None
+
+    def by_library(self, text: str) -> bytes:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         return np.array(self.whole(text), "<u4").tobytes()
@@ -89,6 +100,8 @@ class ByteEncoder:
             return self.ids(text)
 
     def encode(self, text: str) -> bytes:
+        if not text.isascii() and NEWER_SCRIPTS.search(text):
+            return self.by_library(text)
         if any(s in text for s in self.specials):
             return b"".join(self.specials[s].to_bytes(4, "little") if s in self.specials else self.ids(s) for s in self.special.split(text) if s)
         return self.ordinary(text)
