@@ -41,6 +41,20 @@ def test_recall(spark):
     assert len(got) == 150 and np.mean(hit) >= 0.9
 
 
+@pytest.mark.parametrize("long", [10, 20, 100])
+def test_recall_with_one_long_vector(spark, long):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(10, 64))[r.integers(0, 10, 3000)] + r.normal(size=(3000, 64))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    x[7] *= long
+    rows = frame(spark, np.arange(3000), x)
+    got = {}
+    for a in V.nearest(rows, rows.filter("vec_id % 20 = 0"), shard_rows=3000).collect():
+        got.setdefault(a.query_id, set()).add(a.vec_id)
+    hit = [len(got[q] & {v for _, v in exact(np.arange(3000), x, q)}) / 20 for q in got]
+    assert len(got) == 150 and np.mean(hit) >= 0.9
+
+
 def test_few_candidates_and_empty_tables(spark):
     rows = frame(spark, [0, 1, 2], np.eye(3))
     got = V.nearest(rows, rows.filter("vec_id = 0")).collect()
