@@ -1,14 +1,15 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut into chunks of lines where a rolling hash over the hashes of the last
-``WINDOW`` lines meets a condition, so an insertion moves only the borders near it and the same
-passage is cut alike in any document. A line of ``LONG_WORDS`` words or more is as much text as
-several lines and is a chunk of its own. Of the chunks that occur more than once in all
-documents, the first occurrence, by document and place, stays; the others are removed once
-their bytes have been compared with those of the first. Chunks of fewer than ``LEAST_WORDS``
-words, and single short lines, stay wherever they repeat: headings and notices are no passages.
-
-Chunks at the ends of a repeated passage share lines with their surroundings. So a cut also
+A text is cut into chunks of lines. A line of ``LEAST_WORDS`` words or more is a chunk of its
+own, wherever it stands; shorter lines merge until they have as many words and a rolling hash
+over the hashes of the last ``WINDOW`` lines meets a condition, so an insertion moves only the
+borders near it and the same passage is cut alike in any document. Of the chunks that occur
+more than once in all documents, the first occurrence, by document and place, stays; the
+others are marked once their bytes have been compared with those of the first. Marked lines go
+where a run of them has ``PASSAGE_WORDS`` words, or ``FEW_WORDS`` in several lines that aren't blank: single
+short lines, such as headings and notices, are no passages and stay wherever they repeat.
+
+Chunks at the ends of a repeated passage share lines with their surroundings. So a mark also
 takes the lines next to it that stand next to the first occurrence too, unless they are part
 of a chunk that stays as the first of its kind.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, slices, stage
 
-#: Lines in the rolling window, and lines between borders on average.
-WINDOW, MEAN_LINES = 2, 2
-LONG_WORDS, LEAST_WORDS = 25, 8
+#: Lines in the rolling window, and short lines between borders on average once a chunk has its words.
+WINDOW, MEAN_LINES = 1, 2
+#: Words of a chunk that counts; of a run of marked lines that goes, and of one that has several lines.
+LEAST_WORDS, PASSAGE_WORDS, FEW_WORDS = 5, 25, 8
 CACHE_LINES = 100_000
 _TURN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _DROP = pow(_TURN, WINDOW, 1 << 64)
@@ -52,20 +54,27 @@ def line_hash(line: str) -> int:
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
-    """(from, to, whether it counts as a passage) of each chunk, in order."""
-    borders, roll, words, long = [0], 0, [], []
+    """(from, to, whether it counts) of each chunk, in order."""
+    borders, sizes, roll, size = [0], [], 0, 0
     hashes = [line_hash(x) for x in lines]
+
+    def close(at: int) -> None:
+        nonlocal size
+        if borders[-1] != at:
+            borders.append(at)
+            sizes.append(size)
+            size = 0
+
     for k, line in enumerate(lines):
         roll = (roll * _TURN + hashes[k] - (_DROP * hashes[k - WINDOW] if k >= WINDOW else 0)) & _MASK
-        words.append(len(line.split()))
-        long.append(words[k] >= LONG_WORDS)
-        if long[k] and borders[-1] != k:
-            borders.append(k)
-        if long[k] or (roll >> 40) % MEAN_LINES == 0:
-            borders.append(k + 1)
-    if borders[-1] != len(lines):
-        borders.append(len(lines))
-    return [(a, b, long[a] or b - a > 1 and sum(words[a:b]) >= LEAST_WORDS) for a, b in pairwise(borders)]
+        words = len(line.split())
+        if words >= LEAST_WORDS:
+            close(k)
+        size += words
+        if words >= LEAST_WORDS or size >= LEAST_WORDS and (roll >> 40) % MEAN_LINES == 0:
+            close(k + 1)
+    close(len(lines))
+    return [(a, b, n >= LEAST_WORDS) for (a, b), n in zip(pairwise(borders), sizes, strict=True)]
 
 
 def _bytes(lines: list[str]) -> bytes:
@@ -113,7 +122,7 @@ def first_bytes(rows: DataFrame) -> DataFrame:
 
 
 def without(text: str, cuts: list[dict], firsts: set[int]) -> str:
-    """The text without the chunks in ``cuts`` whose bytes are the same, and without what repeats beside them."""
+    """The text without runs of the chunks in ``cuts`` whose bytes are the same, and of what repeats beside them."""
     lines = text.split("\n")
     cut = chunks(lines)
     of = [k for k, (a, b, _) in enumerate(cut) for _ in range(a, b)]
@@ -134,6 +143,14 @@ def without(text: str, cuts: list[dict], firsts: set[int]) -> str:
                     break
                 gone[at] = True
                 at += step
+    at = 0
+    for out, run in groupby(gone):
+        to = at + sum(1 for _ in run)
+        if out:
+            words = [n for n in (len(x.split()) for x in lines[at:to]) if n]
+            if sum(words) < (PASSAGE_WORDS if len(words) < 2 else FEW_WORDS):
+                gone[at:to] = [False] * (to - at)
+        at = to
     return "\n".join(x for x, out in zip(lines, gone, strict=True) if not out) if any(gone) else text
 
 

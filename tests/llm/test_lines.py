@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 
 from tessera.llm import lines as L
 from tests.llm.helpers import documents, empty, words
@@ -75,3 +76,48 @@ def test_a_null_id_comes_last(spark):
     docs = spark.createDataFrame([(None, text), (5, text)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in L.dedup_lines(docs).collect()}
     assert got == {5: text, None: ""}
+
+
+def passages(r, n, least, most, low, high):
+    """Texts in pairs that share a passage of over 50 words between different lines, and the passages."""
+    texts, shared = [], []
+    while len(shared) < n:
+        ls = [words(r.randint(low, high), r.random()) for _ in range(r.randint(least, most))]
+        if sum(len(x.split()) for x in ls) > 50:
+            shared.append(ls)
+            for _ in range(2):
+                around = [[words(r.randint(low, high), r.random()) for _ in range(r.randint(0, 4))] for _ in range(2)]
+                texts.append("\n".join([*around[0], *ls, *around[1]]))
+    return texts, shared
+
+
+def left(texts, shared, got):
+    """Lines of each passage that stay in the later text, and whether all else is as it was."""
+    out = []
+    for k, ls in enumerate(shared):
+        before, after = texts[2 * k + 1].split("\n"), got[2 * k + 1].split("\n") if got[2 * k + 1] else []
+        assert got[2 * k] == texts[2 * k]
+        assert [x for x in before if x not in ls] == [x for x in after if x not in ls]
+        out.append(sum(x in ls for x in after))
+    return out
+
+
+def test_passages_of_short_lines_go(spark):
+    r = random.Random(11)
+    texts, shared = passages(r, 400, 3, 8, 6, 24)
+    got = {x.doc_id: x.text for x in L.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert left(texts, shared, got) == [0] * 400
+
+
+def test_passages_of_lines_of_few_words_shrink():
+    r = random.Random(12)
+    texts, shared = passages(r, 300, 15, 40, 1, 4)
+    rows = [Row(doc_id=k, text=t) for k, t in enumerate(texts)]
+    stay = left(texts, shared, brute(rows))
+    assert sum(n > len(ls) // 2 for n, ls in zip(stay, shared)) <= 6 and sum(stay) <= 0.1 * sum(map(len, shared))
+
+
+def test_a_heading_with_blank_lines_stays(spark):
+    texts = [f"{words(20, k)}\n\n{words(9, 1)}\n\n{words(20, 50 + k)}" for k in range(3)]
+    got = L.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.text for x in got} == set(texts)
