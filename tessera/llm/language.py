@@ -5,7 +5,9 @@ text is parsed from the left into longest matches of the automaton; the fewer ph
 takes, the closer the text is to the sample. Phrases count as log2(sample length) bits each
 over the length of the text (the cross-parsing estimate of entropy), and the language with the fewest bits wins.
 
-Texts are lower-cased and other characters than letters become single spaces. For speed, a
+Texts are lower-cased and other characters than letters become single spaces. Every letter of the
+samples keeps its identity: up to ``ONE_SYMBOL`` letters are a symbol each, more are written with two or more
+digits, a symbol each, as wide as that takes. For speed, a
 text is parsed in windows of ``WINDOW`` symbols, each starting a new phrase: many windows
 walk the automata in step, and long texts are no different from short ones. All of a text is parsed.
 
@@ -36,6 +38,8 @@ SHARPNESS = 6.0
 #: Mean symbols in a phrase below which a text is in none of the languages.
 LEAST_MATCH = 1.5
 PAD, SPACE, OTHER = 0, 1, 2
+#: Letters up to which each has a symbol of one byte; beyond, letters are written with several.
+ONE_SYMBOL = 250
 
 Samples = tuple[tuple[str, str], ...]
 
@@ -65,25 +69,37 @@ def learn(labelled: DataFrame) -> Samples:
 
 
 class Alphabet:
-    """Symbols of code points: the letters of the samples, a space for what is no letter, and one for all other letters."""
+    """Symbols of code points: the letters of the samples, a space for what is no letter, and one for all other letters.
+
+    Letters have ``digits`` symbols each; those of different places differ, so a digit never passes for another place's.
+    """
 
     def __init__(self, samples: Samples):
-        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})[:250]
-        self.table = np.full(0x11_0000 if letters and ord(letters[-1]) > 0x2FF else 0x300, OTHER, np.uint8)
+        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})
+        self.digits, base = 1, len(letters)
+        while self.digits * base > ONE_SYMBOL:
+            self.digits += 1
+            base = next(b for b in range(2, len(letters) + 1) if b**self.digits >= len(letters))
+        self.table = np.full(0x11_0000 if letters and ord(letters[-1]) > 0x2FF else 0x300, OTHER, np.int32)
         for c in range(min(len(self.table), 0x300)):
             if not chr(c).isalpha():
                 self.table[c] = SPACE
         for k, c in enumerate(letters):
             self.table[ord(c)] = 3 + k
-        self.size = 3 + len(letters)
+        self.size = 3 + self.digits * base
+        # the symbols of a table entry; other letters are as long as those of the samples
+        self.codes = np.full((3 + len(letters), self.digits), OTHER, np.uint8)
+        for j in range(self.digits):
+            self.codes[3:, j] = 3 + j * base + np.arange(len(letters)) // base ** (self.digits - 1 - j) % base
+        self.codes[SPACE] = SPACE
 
     def symbols(self, text: str) -> np.ndarray:
         """The text's symbols, without a run of spaces and those at its ends; empty if it has no letter."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
         if len(points) and points.max() >= len(self.table) or len(self.table) > 0x300:
             out = self.table[np.minimum(points, len(self.table) - 1)]
-            for p in np.unique(points[points >= 0x300]):  # beyond Latin: ask for each kind of character
-                out[points == p] = (self.table[p] if p < len(self.table) and self.table[p] > OTHER else OTHER) if chr(p).isalpha() else SPACE
+            for p in np.unique(points[(points >= 0x300) & (out <= OTHER)]):  # beyond Latin, letters of no sample: ask for each kind of character
+                out[points == p] = OTHER if chr(p).isalpha() else SPACE
         else:
             out = self.table[points]
         gap = out == SPACE
@@ -91,7 +107,9 @@ class Alphabet:
         keep[1:] |= ~gap[:-1]
         out = out[keep]
         a, b = int(len(out) > 0 and out[0] == SPACE), len(out) - int(len(out) > 1 and out[-1] == SPACE)
-        return out[a:b]
+        out = out[a:b]
+        codes = self.codes[out]
+        return codes.ravel() if self.digits == 1 else codes[(np.arange(self.digits) == 0) | (out != SPACE)[:, None]]
 
 
 class CrossParser:

@@ -77,3 +77,28 @@ def test_the_sample_is_bounded(spark):
     many = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.lit("one").alias("lang"))
     ((_, sample),) = L.learn(many)
     assert sample.count("\n") < L.SAMPLE_TEXTS and len(sample) <= L.SAMPLE_TEXTS * (L.SAMPLE_CHARS + 1)
+
+
+def script(start, n, seed):
+    """Words over 600 letters from ``start``."""
+    r = random.Random(seed)
+    return " ".join("".join(chr(start + r.randrange(600)) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def test_languages_of_many_letters(spark):
+    starts = {"aa": None, "ja": 0x4E00, "ko": 0xAC00, "zh": 0x6000}
+    make = lambda k, n, seed: text(k, n, seed) if starts[k] is None else script(starts[k], n, seed)
+    rows = [(k, make(sorted(starts)[k % 4], 40, k), sorted(starts)[k % 4]) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = L.learn(docs)
+    tool = L.Identifier(samples)
+    letters = sorted({c for _, t in samples for c in t if c.isalpha()})
+    codes = {bytes(tool.alphabet.symbols(c)) for c in letters}
+    assert len(letters) > 1500 and len(codes) == len(letters) and bytes(tool.alphabet.symbols("Ж")) not in codes
+    fresh = [(k, make(sorted(starts)[k % 4], 30, 9000 + k)) for k in range(40)]
+    label, _, _ = tool.predict([t for _, t in fresh])
+    assert label == [sorted(starts)[k % 4] for k in range(40)]
+    t = fresh[1][1] + " Ж " + fresh[0][1]
+    assert tool.costs([t])[0].tolist() == [[brute(tool, t, s) for _, s in samples]]
+    other = spark.createDataFrame([(1, script(0xA000, 60, 1), "x"), (2, fresh[1][1], "x"), (3, "жзи " * 30, "x")], docs.schema)
+    assert [r.doc_id for r in L.in_known_language(other, samples).collect()] == [2]
