@@ -37,6 +37,8 @@ UNDETERMINED = "und"
 SHARPNESS = 6.0
 #: Mean symbols in a phrase below which a text is in none of the languages.
 LEAST_MATCH = 1.5
+#: Letters and spaces from which on that mean can be judged; a shorter text goes where most of its letters are new to each language.
+ENOUGH = 32
 PAD, SPACE, OTHER = 0, 1, 2
 #: Letters up to which each has a symbol of one byte; beyond, letters are written with several.
 ONE_SYMBOL = 250
@@ -176,6 +178,7 @@ class Identifier:
     def __init__(self, samples: Samples):
         self.alphabet = Alphabet(samples)
         self.labels = [k for k, _ in samples]
+        self.letters = [{c for c in t.lower() if c.isalpha()} for _, t in samples]
         self.parsers = [CrossParser(self.alphabet.symbols(t), self.alphabet.size) for _, t in samples]
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +221,18 @@ class Identifier:
         match = sizes / np.maximum(phrases[np.arange(len(texts)), best], 1)
         return [self.labels[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0).tolist(), match
 
+    def known(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text is in a known language: by its mean match, or its letters where it is too short for that."""
+        label, _, match = self.predict(texts)
+        out = []
+        for t, k, m in zip(texts, label, match.tolist(), strict=True):
+            ok = k != UNDETERMINED and m >= LEAST_MATCH
+            if not ok and k != UNDETERMINED and len(self.alphabet.symbols(t)) < ENOUGH * self.alphabet.digits:
+                letters = [c for c in t.lower() if c.isalpha()]
+                ok = any(2 * sum(c in known for c in letters) >= len(letters) for known in self.letters)
+            out.append(ok)
+        return out
+
 
 @lru_cache(maxsize=2)
 def identifier(samples: Samples) -> Identifier:
@@ -239,14 +254,16 @@ def identify(docs: DataFrame, samples: Samples) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, samples: Samples) -> DataFrame:
-    """The rows whose text has letters and, on average, matches of ``LEAST_MATCH`` symbols in its best language."""
+    """The rows whose text has letters and, on average, matches of ``LEAST_MATCH`` symbols in its best language.
+
+    That says nothing of a text of a few letters: one of fewer than ``ENOUGH`` stays where at least half of its letters are in one language's sample.
+    """
     ship(docs.sparkSession)
 
     def run(batches):
         tool = identifier(samples)
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                label, _, match = tool.predict(batch.column("text").to_pylist())
-                yield batch.filter(pa.array([k != UNDETERMINED and m >= LEAST_MATCH for k, m in zip(label, match, strict=True)], pa.bool_()))
+                yield batch.filter(pa.array(tool.known(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

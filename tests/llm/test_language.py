@@ -102,3 +102,10 @@ def test_languages_of_many_letters(spark):
     assert tool.costs([t])[0].tolist() == [[brute(tool, t, s) for _, s in samples]]
     other = spark.createDataFrame([(1, script(0xA000, 60, 1), "x"), (2, fresh[1][1], "x"), (3, "жзи " * 30, "x")], docs.schema)
     assert [r.doc_id for r in L.in_known_language(other, samples).collect()] == [2]
+
+
+def test_short_documents_pass(spark):
+    samples = L.learn(table(spark))
+    short = ["b", "B.", "ñ", "ü!", "o", "ver", "quez", "rl\u00f3z", "bñ"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*short, "Ж", "жзи", "漢字", "1", None])], "doc_id long, text string")
+    assert {r.text for r in L.in_known_language(docs, samples).collect()} == set(short)
