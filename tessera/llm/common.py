@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Python operators cut Arrow batches so that one step holds about this many bytes of text.
 STEP_BYTES = 4 << 20
+#: Keys that are joined from a broadcast table because of their many rows: no more than this.
+HOT_KEYS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,17 @@ def unstage(df: DataFrame) -> None:
     _staged.pop(df.staged_path, None)
 
 
+def joined_by_count(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has one row each with ``n``, the rows of ``left`` that have it, ``total`` in all.
+
+    Keys with more than a ``HOT_KEYS``-th of all rows can't be more than that many, so they are
+    broadcast, and no task gets all rows of one.
+    """
+    many = max(1000, total // HOT_KEYS)
+    hot, rest = F.broadcast(right.filter(F.col("n") > many)), right.filter(F.col("n") <= many)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts add up to about ``step`` bytes; a longer text stays whole."""
     import numpy as np

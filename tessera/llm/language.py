@@ -1,26 +1,34 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton per language accepts all substrings of a sample of its labelled text. A
-text is parsed from the left into longest matches of the automaton; the fewer phrases it
+text is parsed from the left, end to end, into longest matches of the automaton; the fewer phrases it
 takes, the closer the text is to the sample. Phrases count as log2(sample length) bits each
 over the length of the text (the cross-parsing estimate of entropy), and the language with the fewest bits wins.
 
-Texts are lower-cased and other characters than letters become single spaces. Every letter of the
-samples keeps its identity: up to ``ONE_SYMBOL`` letters are a symbol each, more are written with two or more
-digits, a symbol each, as wide as that takes. For speed, a
-text is parsed in windows of ``WINDOW`` symbols, each starting a new phrase: many windows
-walk the automata in step, and long texts are no different from short ones. All of a text is parsed.
+Texts are lower-cased and other characters than letters become single spaces; a symbol is a code point, so
+every letter keeps its identity. The moves of all automata are one hash table, whose size follows the samples
+whatever the alphabet. For speed, many texts walk in step, and a long text is cut into segments that walk at the same
+time: each is parsed as if a phrase began with it, and then again from where the phrase before it really
+ends until both parses have a phrase begin at the same place, from where on they agree. So phrases are those of the whole text.
+
+Learning reads all labels; the sample is bounded: in the order of a hash of the text, ``SAMPLE_TEXTS`` different whole texts of each language
+make the automaton and ``CHECK_TEXTS`` more calibrate, all of at most ``ROW_CHARS`` characters; a language that has
+only longer ones is learned from its shortest.
+
+``in_known_language`` decides by the mean length of phrases. Its limit for each language lies a ``MARGIN`` of the way from what the
+calibration texts have when their letters are shuffled to what they have as they are. A text of fewer than ``ENOUGH`` symbols says
+too little for that: it stays where at least half of its letters are in one language's sample.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is any
 text where nothing was learned; letters that no sample has are phrases of their own; ties go
-to the smaller label; repeated rows give repeated results; an empty table gives an
-empty result; columns other than ``doc_id`` and ``text`` are ignored. Learning reads all
-labels but keeps at most ``SAMPLE_TEXTS`` passages of ``SAMPLE_CHARS`` characters a language.
+to the smaller label; repeated rows give repeated results; a row with a null ``doc_id`` is a text like any other, held out as
+the empty id is, so it is never learned from; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored, by
+``in_known_language`` passed through.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,241 +37,286 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, slices
 
-#: The bound of the sample: passages for each language, and the length of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 64, 400
-WINDOW = 256
+#: The bound of the sample: whole texts for each language, those that calibrate, and their length.
+SAMPLE_TEXTS, CHECK_TEXTS, ROW_CHARS = 24, 12, 1500
 UNDETERMINED = "und"
 #: How sharply bits a symbol turn into a score.
 SHARPNESS = 6.0
-#: Mean symbols in a phrase below which a text is in none of the languages.
-LEAST_MATCH = 1.5
-#: Letters and spaces from which on that mean can be judged; a shorter text goes where most of its letters are new to each language.
-ENOUGH = 32
-PAD, SPACE, OTHER = 0, 1, 2
-#: Letters up to which each has a symbol of one byte; beyond, letters are written with several.
-ONE_SYMBOL = 250
+#: Where the limit of the mean length lies between shuffled and real text.
+MARGIN = 0.25
+#: Letters and spaces from which on the mean can be judged.
+ENOUGH = 128
+#: Symbols of a segment, and bytes of text in a step.
+SEGMENT, STEP = 1024, 4 << 20
+SPACE, PAD, SYMBOL_BITS = 0x20, 0x1FFFFF, 21
+_EMPTY, _ODD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
+
 
-Samples = tuple[tuple[str, str], ...]
+@dataclass(frozen=True)
+class Sample:
+    label: str
+    text: str
+    checks: tuple[str, ...] = ()
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(labelled: DataFrame) -> Samples:
-    """Passages of each value of ``lang`` from rows with ``doc_id``, ``text`` and ``lang``; the order of hashes decides."""
+def learn(labelled: DataFrame) -> tuple[Sample, ...]:
+    """Samples of each value of ``lang`` from rows with ``text`` and ``lang``."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    mix = F.xxhash64("doc_id", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return ()
-    # about four times as many as needed; then the first ones of each language
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * SAMPLE_TEXTS / n)))])
-    rows = rows.filter(F.pmod(mix, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    start = F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
-    passage = F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "passage"))
-    few = rows.select("lang", mix.alias("mix"), passage.alias("passage")).withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS)
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("mix"), F.length("text").alias("size"))
+    # short enough texts by hash, then longer ones by length, of which the first counts if it is the only one
+    order = rows.select("lang", F.when(F.col("size") > ROW_CHARS, F.col("size")).otherwise(0).alias("over"), "mix").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("over", "mix"))
+    order = order.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS + CHECK_TEXTS).filter("over = 0 or rank = 1")
+    few = rows.join(order.select("lang", "mix", "rank"), ["lang", "mix"]).dropDuplicates(["lang", "mix"])
     texts: dict[str, list[str]] = {}
-    for r in few.orderBy("lang", "rank").collect():
-        texts.setdefault(r["lang"], []).append(r["passage"])
-    return tuple((k, "\n".join(v)) for k, v in sorted(texts.items()))
-
-
-class Alphabet:
-    """Symbols of code points: the letters of the samples, a space for what is no letter, and one for all other letters.
-
-    Letters have ``digits`` symbols each; those of different places differ, so a digit never passes for another place's.
-    """
-
-    def __init__(self, samples: Samples):
-        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})
-        self.digits, base = 1, len(letters)
-        while self.digits * base > ONE_SYMBOL:
-            self.digits += 1
-            base = next(b for b in range(2, len(letters) + 1) if b**self.digits >= len(letters))
-        self.table = np.full(0x11_0000 if letters and ord(letters[-1]) > 0x2FF else 0x300, OTHER, np.int32)
-        for c in range(min(len(self.table), 0x300)):
-            if not chr(c).isalpha():
-                self.table[c] = SPACE
-        for k, c in enumerate(letters):
-            self.table[ord(c)] = 3 + k
-        self.size = 3 + self.digits * base
-        # the symbols of a table entry; other letters are as long as those of the samples
-        self.codes = np.full((3 + len(letters), self.digits), OTHER, np.uint8)
-        for j in range(self.digits):
-            self.codes[3:, j] = 3 + j * base + np.arange(len(letters)) // base ** (self.digits - 1 - j) % base
-        self.codes[SPACE] = SPACE
-
-    def symbols(self, text: str) -> np.ndarray:
-        """The text's symbols, without a run of spaces and those at its ends; empty if it has no letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        if len(points) and points.max() >= len(self.table) or len(self.table) > 0x300:
-            out = self.table[np.minimum(points, len(self.table) - 1)]
-            for p in np.unique(points[(points >= 0x300) & (out <= OTHER)]):  # beyond Latin, letters of no sample: ask for each kind of character
-                out[points == p] = OTHER if chr(p).isalpha() else SPACE
-        else:
-            out = self.table[points]
-        gap = out == SPACE
-        keep = ~gap
-        keep[1:] |= ~gap[:-1]
-        out = out[keep]
-        a, b = int(len(out) > 0 and out[0] == SPACE), len(out) - int(len(out) > 1 and out[-1] == SPACE)
-        out = out[a:b]
-        codes = self.codes[out]
-        return codes.ravel() if self.digits == 1 else codes[(np.arange(self.digits) == 0) | (out != SPACE)[:, None]]
+    for r in few.select("lang", "rank", "text").orderBy("lang", "rank").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    return tuple(Sample(k, "\n".join(v[:SAMPLE_TEXTS]), tuple(v[SAMPLE_TEXTS:])) for k, v in sorted(texts.items()))
+
+
+_letters: list[np.ndarray] = []
+
+
+def are_letters(points: np.ndarray) -> np.ndarray:
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000))
+    out = _letters[0][np.minimum(points, 0xFFFF)]
+    for p in np.unique(points[points > 0xFFFF]):
+        out[points == p] = chr(p).isalpha()
+    return out
+
+
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols, each followed by ``PAD``, without runs of spaces and spaces at the ends; and where each text starts."""
+    lower = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.where(are_letters(points), points, SPACE).astype(np.int32)
+    out[np.cumsum([len(t) + 1 for t in lower], dtype=np.int64) - 1] = PAD
+    gap = out == SPACE
+    before = np.concatenate(([PAD], out[:-1]))
+    out = out[~(gap & ((before == SPACE) | (before == PAD)))]
+    out = out[~((out == SPACE) & (np.concatenate((out[1:], [PAD])) == PAD))]
+    ends = np.flatnonzero(out == PAD)
+    return out, np.concatenate(([0], ends[:-1] + 1)) if len(ends) else np.empty(0, np.int64)
+
+
+def moves(sample: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a sequence: where each symbol leads from each state; 0 is the root."""
+    out: list[dict[int, int]] = [{}]
+    link, longest, last = [-1], [0], 0
+    for c in sample:
+        state = len(out)
+        out.append({})
+        longest.append(longest[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in out[p]:
+            out[p][c] = state
+            p = link[p]
+        if p >= 0:
+            q = out[p][c]
+            if longest[q] == longest[p] + 1:
+                link[state] = q
+            else:
+                clone = len(out)
+                out.append(dict(out[q]))
+                longest.append(longest[p] + 1)
+                link.append(link[q])
+                while p >= 0 and out[p].get(c) == q:
+                    out[p][c] = clone
+                    p = link[p]
+                link[q] = link[state] = clone
+        last = state
+    return out
 
 
 class CrossParser:
-    """The suffix automaton of a sample as one table of moves.
-
-    An entry holds where a symbol leads from a state, and how many phrases that closes: none
-    while a match goes on, one where a new match starts, and one more for a symbol unknown to the sample.
-    """
-
-    def __init__(self, sample: np.ndarray, size: int):
-        moves: list[dict[int, int]] = [{}]
-        link, longest, last = [-1], [0], 0
-        for c in sample.tolist():
-            state = len(moves)
-            moves.append({})
-            longest.append(longest[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in moves[p]:
-                moves[p][c] = state
-                p = link[p]
-            if p >= 0:
-                q = moves[p][c]
-                if longest[q] == longest[p] + 1:
-                    link[state] = q
+    """The automata of some samples; states are numbered through, and moves are a hash table with open addresses."""
+
+    def __init__(self, texts: list[str]):
+        keys, values, roots, bits, base = [], [], [], [], 0
+        for text in texts:
+            own = symbols([text])[0][:-1].tolist()
+            automaton = moves(own)
+            roots.append(base)
+            bits.append(float(np.log2(max(2, len(own)))))
+            keys += [(base + s) << SYMBOL_BITS | c for s, m in enumerate(automaton) for c in m]
+            values += [base + t for m in automaton for t in m.values()]
+            base += len(automaton)
+        self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
+        size = max(4, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - size)
+        self.keys, self.values = np.full(1 << size, _EMPTY), np.zeros(1 << size, np.int32)
+        key, value = np.array(keys, np.uint64), np.array(values, np.int32)
+        at = (key * _ODD >> self.shift).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            free = left[self.keys[at[left]] == _EMPTY]
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.values[at[put]] = key[put], value[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = at[left] + 1 & len(self.keys) - 1
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each symbol leads from each state, or -1."""
+        key = (state.astype(np.int64) << SYMBOL_BITS | symbol).view(np.uint64)
+        at = (key * _ODD >> self.shift).view(np.int64)
+        found = self.keys[at]
+        out = np.where(found == key, self.values[at], -1)
+        more = np.flatnonzero((found != key) & (found != _EMPTY))
+        while len(more):
+            at[more] = at[more] + 1 & len(self.keys) - 1
+            found = self.keys[at[more]]
+            hit = found == key[more]
+            out[more[hit]] = self.values[at[more[hit]]]
+            more = more[~hit & (found != _EMPTY)]
+        return out
+
+    def walk(self, flat: np.ndarray, pos: np.ndarray, stop: np.ndarray, root: np.ndarray, base: np.ndarray, marks: np.ndarray, until: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Parse from ``pos`` until a phrase begins at ``stop`` or later, or, with ``until``, where one is marked.
+
+        Gives where that is, and the marks (base + place) of all phrases that begin before; without ``until`` they are set as well.
+        """
+        ends, new = pos.copy(), [np.empty(0, np.int64)]
+        lane, state, pos = np.arange(len(pos)), root.copy(), pos.copy()
+        while len(lane):
+            for _ in range(16):
+                start = state == root
+                place = base + pos
+                over = start & (pos >= stop)
+                if until:
+                    over |= start & marks[place]
+                begun = place[start & ~over]
+                if until:
+                    new.append(begun)
                 else:
-                    clone = len(moves)
-                    moves.append(dict(moves[q]))
-                    longest.append(longest[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and moves[p].get(c) == q:
-                        moves[p][c] = clone
-                        p = link[p]
-                    link[q] = link[state] = clone
-            last = state
-        step = np.full((len(moves), size), -1, np.int64)
-        for s, m in enumerate(moves):
-            if m:
-                step[s, list(m)] = list(m.values())
-        root = step[0].copy()
-        restart = np.where(root >= 0, root * size << 2 | 1, 2)  # the phrase before ends; an unknown symbol is one more
-        self.table = np.where(step >= 0, step * size << 2, restart[None, :])
-        self.table[0] = np.where(root >= 0, root * size << 2, 1)
-        self.table[:, PAD] = 1
-        self.table[0, PAD] = 0
-        self.table = self.table.astype(np.int32).ravel()
-        self.bits = float(np.log2(max(2, len(sample))))
-
-    def phrases(self, windows: np.ndarray) -> np.ndarray:
-        """Phrases in each column; a column ends with padding, which closes its last phrase."""
-        state = np.zeros(windows.shape[1], np.int32)
-        count = np.zeros(windows.shape[1], np.int32)
-        at = np.empty_like(state)
-        for row in windows:
-            np.add(state, row, out=at)
-            np.take(self.table, at, out=state, mode="clip")
-            np.bitwise_and(state, 3, out=at)
-            count += at
-            state >>= 2
-        return count
+                    marks[begun] = True
+                to = self.move(state, flat[pos])
+                ok = (to >= 0) & ~over
+                state = np.where(ok, to, root)
+                pos += ok | start & ~over
+            start = state == root
+            over = start & (pos >= stop)
+            if until:
+                over |= start & marks[base + pos]
+            ends[lane[over]] = pos[over]
+            keep = ~over
+            lane, state, pos, stop, root, base = (x[keep] for x in (lane, state, pos, stop, root, base))
+        return ends, np.concatenate(new)
+
+    def phrases(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many longest matches of each automaton (columns) each text (rows) is made of."""
+        sizes = np.diff(np.concatenate((starts, [len(flat)]))) - 1
+        many, langs = -(-sizes // SEGMENT), len(self.roots)
+        if not langs or not many.sum():
+            return np.zeros((len(starts), langs), np.int64)
+        first = np.cumsum(many) - many
+        number = np.arange(many.sum()) - np.repeat(first, many)
+        begin = np.repeat(starts, many) + number * SEGMENT
+        stop = np.minimum(begin + SEGMENT, np.repeat(starts + sizes, many))
+        begin, stop, later = (np.tile(x, langs) for x in (begin, stop, number > 0))
+        root, base = np.repeat(self.roots, len(number)), np.repeat(np.arange(langs) * len(flat), len(number))
+        marks = np.zeros(langs * len(flat), bool)
+        ends, _ = self.walk(flat, begin, stop, root, base, marks, False)
+        while True:
+            entry = np.where(later, np.roll(ends, 1), begin)
+            todo = np.flatnonzero(entry != begin)
+            if not len(todo):
+                break
+            met, new = self.walk(flat, entry[todo], stop[todo], root[todo], base[todo], marks, True)
+            for k, to in zip(todo.tolist(), met.tolist(), strict=True):
+                marks[base[k] + begin[k] : base[k] + min(to, stop[k])] = False
+            marks[new] = True
+            behind = met >= stop[todo]
+            ends[todo[behind]] = met[behind]
+            begin[todo] = entry[todo]
+        counts = [np.add.reduceat(marks[k * len(flat) : (k + 1) * len(flat)].view(np.uint8), starts, dtype=np.int64) for k in range(langs)]
+        return np.stack(counts, axis=1)
 
 
 class Identifier:
-    def __init__(self, samples: Samples):
-        self.alphabet = Alphabet(samples)
-        self.labels = [k for k, _ in samples]
-        self.letters = [{c for c in t.lower() if c.isalpha()} for _, t in samples]
-        self.parsers = [CrossParser(self.alphabet.symbols(t), self.alphabet.size) for _, t in samples]
+    def __init__(self, samples: tuple[Sample, ...]):
+        self.labels = [s.label for s in samples]
+        self.parser = CrossParser([s.text for s in samples])
+        self.letters = [{c for c in s.text.lower() if c.isalpha()} for s in samples]
+        self.least = np.zeros(len(samples))
+        for k, s in enumerate(samples):
+            real = [t for t in s.checks or (s.text,) if len(t) >= ENOUGH]
+            r = np.random.default_rng(7)
+            mixed = ["".join(np.array(list(t))[r.permutation(len(t))]) for t in real]
+            if s.checks and real:
+                a, b = (float(np.median(self.matches(x)[:, k])) for x in (mixed, real))
+                self.least[k] = a + MARGIN * (b - a)
+        # a language without texts to calibrate with takes the others' mildest limit
+        self.least[self.least == 0] = min(self.least[self.least > 0], default=1.5)
+
+    def matches(self, texts: list[str]) -> np.ndarray:
+        """Mean symbols in a phrase of each text for each language."""
+        phrases, sizes = self.costs(texts)
+        return sizes[:, None] / np.maximum(phrases, 1)
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) for each language, and the texts' lengths in symbols."""
-        symbols = [self.alphabet.symbols(t or "") for t in texts]
-        sizes = np.array([len(s) for s in symbols], np.int64)
-        many = -(-sizes // WINDOW)
-        phrases = np.zeros((len(texts), len(self.parsers)), np.int64)
-        total = int(many.sum())
-        if total and self.parsers:
-            grid = np.zeros((total, WINDOW + 1), np.uint8)
-            first = np.cumsum(many) - many
-            for k, s in zip(first.tolist(), symbols, strict=True):
-                full = len(s) // WINDOW
-                grid[k : k + full, :WINDOW] = s[: full * WINDOW].reshape(full, WINDOW)
-                if len(s) % WINDOW:
-                    grid[k + full, : len(s) % WINDOW] = s[full * WINDOW :]
-            # windows of like length walk together, so that short ones need few steps
-            length = np.full(total, WINDOW)
-            has = many > 0
-            length[(first + many - 1)[has]] = sizes[has] - (many[has] - 1) * WINDOW
-            order = np.argsort(length, kind="stable")
-            owner = np.repeat(np.arange(len(texts)), many)
-            for a in range(0, total, 8192):
-                lane = order[a : a + 8192]
-                part = np.ascontiguousarray(grid[lane, : length[lane[-1]] + 1].T.astype(np.int32))
-                for j, parser in enumerate(self.parsers):
-                    np.add.at(phrases[:, j], owner[lane], parser.phrases(part))
-        return phrases, sizes
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray]:
-        """Labels, scores, and mean symbols in a phrase for the label's language."""
+        if not texts:
+            return np.zeros((0, len(self.labels)), np.int64), np.zeros(0, np.int64)
+        flat, starts = symbols(texts)
+        return self.parser.phrases(flat, starts), np.diff(np.concatenate((starts, [len(flat)]))) - 1
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+        """Labels, scores, and whether the texts' phrases for that language are long enough; and the texts' lengths."""
         phrases, sizes = self.costs(texts)
-        if not self.labels:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts), np.zeros(len(texts))
-        bits = phrases * np.array([p.bits for p in self.parsers]) / np.maximum(sizes, 1)[:, None]
+        if not self.labels or not texts:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), np.zeros(len(texts), bool), sizes
+        bits = phrases * self.parser.bits / np.maximum(sizes, 1)[:, None]
         best = bits.argmin(axis=1)
         odds = np.exp(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True)))
         score = 1 / odds.sum(axis=1)
         match = sizes / np.maximum(phrases[np.arange(len(texts)), best], 1)
-        return [self.labels[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0).tolist(), match
+        return [self.labels[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0).tolist(), match >= self.least[best], sizes
 
-    def known(self, texts: list[str | None]) -> list[bool]:
-        """Whether each text is in a known language: by its mean match, or its letters where it is too short for that."""
-        label, _, match = self.predict(texts)
+    def known(self, texts: list[str | None]) -> tuple[list[bool], list[str]]:
+        """Whether each text is in a known language, and its label."""
+        label, _, fits, sizes = self.predict(texts)
         out = []
-        for t, k, m in zip(texts, label, match.tolist(), strict=True):
-            ok = k != UNDETERMINED and m >= LEAST_MATCH
-            if not ok and k != UNDETERMINED and len(self.alphabet.symbols(t)) < ENOUGH * self.alphabet.digits:
+        for t, k, ok, n in zip(texts, label, fits.tolist(), sizes.tolist(), strict=True):
+            if k != UNDETERMINED and n < ENOUGH:
                 letters = [c for c in t.lower() if c.isalpha()]
                 ok = any(2 * sum(c in known for c in letters) >= len(letters) for known in self.letters)
-            out.append(ok)
-        return out
-
+            out.append(ok and k != UNDETERMINED)
+        return out, label
 
-@lru_cache(maxsize=2)
-def identifier(samples: Samples) -> Identifier:
-    return Identifier(samples)
 
-
-def identify(docs: DataFrame, samples: Samples) -> DataFrame:
+def identify(docs: DataFrame, samples: tuple[Sample, ...]) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of each row."""
     ship(docs.sparkSession)
+    tool = Identifier(samples)
 
     def run(batches):
-        tool = identifier(samples)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                label, score, _ = tool.predict(batch.column("text").to_pylist())
+            for batch in slices(whole, "text", STEP):
+                label, score, _, _ = tool.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def in_known_language(docs: DataFrame, samples: Samples) -> DataFrame:
-    """The rows whose text has letters and, on average, matches of ``LEAST_MATCH`` symbols in its best language.
-
-    That says nothing of a text of a few letters: one of fewer than ``ENOUGH`` stays where at least half of its letters are in one language's sample.
-    """
+def in_known_language(docs: DataFrame, samples: tuple[Sample, ...]) -> DataFrame:
+    """The rows whose text is in one of the learned languages; a null ``lang`` becomes the one found."""
     ship(docs.sparkSession)
+    tool = Identifier(samples)
 
     def run(batches):
-        tool = identifier(samples)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                yield batch.filter(pa.array(tool.known(batch.column("text").to_pylist()), pa.bool_()))
+            for batch in slices(whole, "text", STEP):
+                keep, label = tool.known(batch.column("text").to_pylist())
+                if (at := batch.schema.get_field_index("lang")) >= 0 and batch.column(at).null_count:
+                    given = [k if g is None else g for g, k in zip(batch.column(at).to_pylist(), label, strict=True)]
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(given, batch.schema.field(at).type))
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

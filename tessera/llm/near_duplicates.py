@@ -5,32 +5,37 @@ one byte: the least of exponentially distributed hashes of the set, on a scale o
 ``BASE``, truncated to a byte. The register of a union is the greater one, so sketches merge,
 and two sets agree in a register at least as often as they have elements in common.
 
-1. Documents with equal sets are one class, whose smallest id stands for it.
-2. Bands of ``ROWS`` registers are keys. In each bucket, the classes are paired with the bucket's
+1. Rows with equal sets are one class; one row of each, with the smallest id, stands for it.
+2. Bands of ``ROWS`` registers are keys. In each bucket of the first ``FIRST_BANDS`` bands, the classes are paired with the bucket's
    smallest one: a star, not all pairs.
 3. The Jaccard similarity of a pair is estimated by maximum likelihood from how many registers are
    less, equal and greater, with the sets' sizes known; pairs far below the limit go.
 4. Pairs are verified on full sets, at first the likeliest one of each class, then those that
-   still join different components.
-5. What a star doesn't show: where a bucket's classes are in several components after that, its
-   classes of different components are compared too, in blocks of ``BLOCK`` times ``BLOCK``: by
-   their sketches, and on full sets where those are near the limit. A pair is compared in the first
+   still join different components. So most copies are in one component before the other bands are looked at.
+5. Of the buckets of all bands, those with classes of several components are left. There, one class
+   of each component is paired with the smallest one, as before.
+6. In buckets that have several components still, all classes of different components are compared in blocks: by
+   their sketches, and on full sets where those are near the limit. Classes of a bucket's largest component
+   meet those of the others only. A pair is compared in the first
    band it shares; a block returns links that join components, fewer than its classes. So
    no pair that shares a bucket is left out unless its two documents are in one component anyway.
 
 A pair at the limit shares no bucket with a probability below 1e-5; nothing is capped.
 
 Defined results: a text that is null or without words has an empty set and is linked with nothing;
-with fewer words than a shingle, the whole sequence is the one shingle; rows that repeat an id
-are of one class if their texts agree; a null id is a document that never represents others
-and is not kept; an empty table gives an empty result; columns other than ``doc_id``
-and ``text`` are ignored. Shingles are compared by 64-bit hashes.
+with fewer words than a shingle, the whole sequence is the one shingle; each row is a document, whatever its
+id: rows that repeat an id are linked if their texts are alike, and only then; a null id
+is a document like any other, but no ``component_id`` unless all of its component have none, and then that is null, and
+not ``kept``; ``kept_documents`` keeps one row of each component, the first of the rows with the smallest id,
+and all rows with empty sets; an empty table gives an empty result; columns other than ``doc_id``
+and ``text`` are ignored. Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -38,19 +43,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, ship, slices, stage, unstage
+from tessera.llm.common import joined_by_count, ship, slices, stage, unstage
 from tessera.llm.components import components
 
 WORDS, LIMIT = 5, 0.75
 BANDS, ROWS = 40, 5
+FIRST_BANDS = 8
 BAND_BITS = 6
 REGISTERS = BANDS * ROWS
 #: The scale of the registers: minima of rate ``RATE`` in powers of ``BASE``, cut to 0..255.
 BASE, RATE = 1.1, 20.0
 #: Pairs with a lower estimate are dropped: about five standard errors below the limit.
 LEAST_ESTIMATE = 0.58
-BLOCK = 512
-CACHE_WORDS = 400_000
+#: Classes of a block, and bytes of their compressed words; rows of small buckets that are compared in one call; bytes of full sets kept at a time.
+BLOCK, BLOCK_BYTES, CALL_ROWS, SET_BYTES = 512, 8 << 20, 2000, 16 << 20
+CACHE_WORDS = 100_000
+#: Stands for a null id where ids are compared.
+LAST = (1 << 63) - 1
 _GRID = np.linspace(0.0, 1.0, 101)
 _ODD = np.random.default_rng(20).integers(0, 1 << 64, REGISTERS, np.uint64, endpoint=False) | np.uint64(1)
 _MIX = np.random.default_rng(21).integers(0, 1 << 64, WORDS, np.uint64, endpoint=False) | np.uint64(1)
@@ -152,12 +161,30 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
-SKETCHES = "doc_id long, n long, digest binary, sketch binary, words binary"
+class Sets:
+    """Full sets by key, from compressed words; those used last are kept, ``SET_BYTES`` in all."""
+
+    def __init__(self):
+        import zstandard
+
+        self.unpack, self.kept, self.size = zstandard.ZstdDecompressor(), OrderedDict(), 0
+
+    def get(self, key: int, words: bytes) -> np.ndarray:
+        if (found := self.kept.pop(key, None)) is None:
+            found = shingles(self.unpack.decompress(words).split(b" "))
+            self.size += found.nbytes
+            while self.size > SET_BYTES and self.kept:
+                self.size -= self.kept.popitem(last=False)[1].nbytes
+        self.kept[key] = found
+        return found
+
+
+SKETCHES = "uid long, doc_id long, m long, digest binary, sketch binary, words binary"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: set size, digest of the set, sketch, and the words, compressed, to get the set again."""
-    ship(docs.sparkSession)
+def sketches(rows: DataFrame) -> DataFrame:
+    """For rows with ``uid``, ``doc_id`` and ``text``: set size, digest of the set, sketch, and the words, compressed, to get the set again."""
+    ship(rows.sparkSession)
 
     def run(batches):
         import zstandard
@@ -174,16 +201,17 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sketch[k] = m.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("uid"),
                         batch.column("doc_id").cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array(sketch, pa.binary()),
                         pa.array([pack.compress(b" ".join(w)) if w else None for w in words], pa.binary()),
                     ],
-                    names=["doc_id", "n", "digest", "sketch", "words"],
+                    names=["uid", "doc_id", "m", "digest", "sketch", "words"],
                 )
 
-    return doc_text(docs).mapInArrow(run, SKETCHES)
+    return rows.select("uid", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SKETCHES)
 
 
 def _byte_rows(column: pa.Array) -> np.ndarray:
@@ -192,7 +220,7 @@ def _byte_rows(column: pa.Array) -> np.ndarray:
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose estimate is near the limit or above it, with the estimate."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("m").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes_fit(F.col("n_a"), F.col("n_b")))
 
     def run(batches):
@@ -210,30 +238,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("id").alias(x), F.col("words").alias(f"w_{x}"))
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-
-        @lru_cache(maxsize=64)
-        def full(id_: int, words: bytes) -> np.ndarray:
-            return shingles(unpack.decompress(words).split(b" "))
-
+        sets = Sets()
         for whole in batches:
             for batch in slices(whole, "w_b", 1 << 20):
                 keep = []
                 for a, wa, b, wb in zip(*(batch.column(c).to_pylist() for c in ("a", "w_a", "b", "w_b")), strict=True):
-                    keep.append(alike(full(a, wa), full(b, wb)))
+                    keep.append(alike(sets.get(a, wa), sets.get(b, wb)))
                 kept = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "w_a", "b", "w_b").mapInArrow(run, "a long, b long")
 
 
-def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """``key`` and ``id`` for each band of each class; a key's lowest bits are its band's number."""
+def bucket_keys(nodes: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``key`` for each band of each class, besides its columns but the sketch; a key's lowest bits are its band's number."""
     hashed = lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS)))
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(hashed(i), BAND_BITS).bitwiseOR(i.cast("long")))
-    return nodes.select("id", F.explode(band).alias("key"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.shiftleft(hashed(i), BAND_BITS).bitwiseOR(i.cast("long")))
+    return nodes.select("*", F.explode(band).alias("key")).drop("sketch", "m", "digest", "n", "first")
 
 
 def labelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
@@ -255,18 +276,8 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(more.join(labels.select("id"), "id", "left_anti")), "labels")
 
 
-def linked_within(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, words: list[bytes], pair: np.ndarray, band: int) -> list[tuple[int, int]]:
+def linked_within(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, words: list[bytes], pair: np.ndarray, band: int, sets: Sets) -> list[tuple[int, int]]:
     """Verified links between components of a block's classes; ``pair`` has the chunk of each, of which two different ones are compared if there are two."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
-    sets: dict[int, np.ndarray] = {}
-
-    def full(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingles(unpack.decompress(words[i]).split(b" "))
-        return sets[i]
-
     two = bool((pair != pair[0]).any())
     rows = sketch.reshape(len(ids), BANDS, ROWS)
     label, out = label.copy(), []
@@ -280,71 +291,127 @@ def linked_within(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.
         if len(k):
             j = estimates(np.broadcast_to(sketch[i], (len(k), sketch.shape[1])), np.full(len(k), n[i]), sketch[k], n[k])
             for x in k[(j >= LEAST_ESTIMATE)][np.argsort(-j[j >= LEAST_ESTIMATE], kind="stable")].tolist():
-                if label[x] != label[i] and alike(full(i), full(x)):
+                if label[x] != label[i] and alike(sets.get(int(ids[i]), words[i]), sets.get(int(ids[x]), words[x])):
                     out.append((int(ids[i]), int(ids[x])))
                     label[label == label[x]] = label[i]
     return out
 
 
-def residual_links(members: DataFrame, shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Verified links between different components within buckets, found in blocks."""
-    within = labelled(members.join(shared.filter("size > 2").select("key"), "key"), "id", labels)
-    mixed = within.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y").select("key", "size")
-    rows = within.join(mixed, "key").join(classes.select("id", "n", "sketch", "words"), "id")
-    chunks = F.floor((F.col("size") - 1) / BLOCK).cast("int")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks + 1).cast("int"))
-    # a cell holds two chunks of a bucket, or one alone; a chunk is in a cell with each other
-    cells = rows.select("key", "id", "label", "n", "sketch", "words", "chunk", F.explode(F.sequence(F.lit(0), chunks)).alias("other"))
-    cells = cells.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "id", "label", "n", "sketch", "words")
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """``key`` and ``n``, its rows, of the buckets with several components, from ``key`` and ``label``."""
+    return members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x != y").select("key", "n")
+
+
+def residual_links(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links between different components within buckets, found in blocks, from ``key``, ``id`` and ``label``."""
+    rows = members.join(classes.select("id", "m", "sketch", "words", F.length("words").alias("size")), "id")
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("size").alias("b"))
+    buckets = each.groupBy("key").agg(F.max(F.struct("c", "label", "b")).alias("top"), F.sum("c").alias("n"), F.sum("b").alias("b")).filter(F.col("n") > F.col("top.c"))
+    parts = lambda n, b: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES))).cast("int")
+    small = (F.col("n") <= BLOCK) & (F.col("b") <= BLOCK_BYTES)
+    top, rest = parts(F.col("top.c"), F.col("top.b")), parts(F.col("n") - F.col("top.c"), F.col("b") - F.col("top.b"))
+    buckets = buckets.select("key", "n", "b", F.col("top.label").alias("largest"), F.when(small, 0).otherwise(top).alias("first"), F.when(small, 1).otherwise(rest).alias("others"))
+    buckets = stage(buckets, "mixed")
+    facts = buckets.agg(F.sum(F.when(small, F.col("n"))).alias("n"), F.sum(F.when(small, F.col("b"))).alias("b"), F.sum("n").alias("all")).first()
+    calls = max(1, (facts["n"] or 0) // CALL_ROWS, (facts["b"] or 0) // BLOCK_BYTES)
+    rows = joined_by_count(rows.drop("size"), buckets.drop("b"), "key", facts["all"] or 0)
+    # a bucket's largest component has chunks of its own; a cell holds two chunks, or one of the others alone, and each of them is in a cell with each other one
+    of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    inner = (F.col("first") > 0) & (F.col("label") == F.col("largest"))
+    rows = rows.withColumn("chunk", F.when(inner, of(F.greatest("first", F.lit(1)))).otherwise(F.col("first") + of(F.col("others"))))
+    meets = F.sequence(F.when(inner, F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("others") - 1)
+    cells = rows.withColumn("other", F.explode(meets)).withColumn("call", F.when(F.col("first") == 0, F.pmod(F.xxhash64("key"), F.lit(calls))).otherwise(F.lit(-1)))
+    cells = cells.select(
+        "call", F.when(F.col("call") < 0, F.col("key")).otherwise(F.lit(0)).alias("alone"), F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
+        "key", "chunk", "id", "label", "m", "sketch", "words",
+    )
 
     def run(cell: pa.Table) -> pa.Table:
-        ids, label, n, chunk = (cell.column(c).to_numpy() for c in ("id", "label", "n", "chunk"))
+        key, ids, label, n, chunk = (cell.column(c).to_numpy() for c in ("key", "id", "label", "m", "chunk"))
+        sketch, words = _byte_rows(cell.column("sketch").combine_chunks()), cell.column("words").to_pylist()
         out: list[tuple[int, int]] = []
-        if cell.column("c1")[0] == cell.column("c2")[0] or (chunk != chunk[0]).any():
-            sketch = _byte_rows(cell.column("sketch").combine_chunks())
-            out = linked_within(ids, label, n, sketch, cell.column("words").to_pylist(), chunk, cell.column("key")[0].as_py() & (1 << BAND_BITS) - 1)
+        one = cell.column("c1")[0] == cell.column("c2")[0]
+        order, sets = np.argsort(key, kind="stable"), Sets()
+        for k in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if one or (chunk[k] != chunk[k[0]]).any():
+                out += linked_within(ids[k], label[k], n[k], sketch[k], [words[x] for x in k], chunk[k], int(key[k[0]]) & (1 << BAND_BITS) - 1, sets)
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
+    return cells.groupBy("call", "alone", "c1", "c2").applyInArrow(run, "a long, b long")
+
+
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of sketched rows (``digest``, ``n`` rows, set size ``m``, ``first``: the least of (doc_id, uid)), and (``id``, ``keeper``) of those in components of several classes."""
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "uid")).alias("first")
+    # equal sets have equal sizes and sketches
+    nodes = rows.filter("m > 0").groupBy("digest").agg(first, F.count("*").alias("n"), F.max("m").alias("m"), F.first("sketch").alias("sketch"))
+    nodes = stage(nodes.withColumn("id", F.col("first.uid")), "nodes")
+    labels = _components_of(nodes, rows.select(F.col("uid").alias("id"), "words"))
+    # labels are the least of the ids, which are any numbers; a component's first row is that of the smallest doc_id
+    whole = labels.select("id", "label").unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
+    whole = stage(whole.join(nodes.select("id", "first"), "id"), "whole")
+    keepers = whole.groupBy("label").agg(F.min("first").alias("keeper"))
+    return nodes, whole.join(keepers, "label").select("id", "keeper")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``uid``, a number of each row; it holds once it is written."""
+    return docs.withColumn("uid", F.monotonically_increasing_id())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
-    rows = stage(sketches(docs), "sketches")
-    # equal sets have equal sizes and sketches
-    some = rows.filter("n > 0 and doc_id is not null")
-    nodes = stage(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    labels = _components_of(nodes, rows.select(F.col("doc_id").alias("id"), "words"))
-    found = rows.select("doc_id", "n", "digest").join(nodes.select("digest", "id"), "digest", "left")
-    found = found.select("doc_id", "n", F.coalesce("id", "doc_id").alias("rep"))
-    out = labelled(found, "rep", labels)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(False)).alias("kept"))
+    rows = stage(sketches(numbered(docs.select("doc_id", "text"))), "sketches")
+    nodes, keepers = grouped(rows)
+    total = rows.count()
+    classes = nodes.join(keepers, "id", "left").select("digest", "n", F.coalesce("keeper.doc", "first.doc").alias("least"))
+    some = joined_by_count(rows.filter("m > 0").select("doc_id", "m", "digest"), stage(classes, "classes"), "digest", total).select("doc_id", "m", "least")
+    out = some.unionByName(rows.filter("m = 0").select("doc_id", "m", F.col("doc_id").alias("least")))
+    label = F.nullif(F.col("least"), F.lit(LAST))
+    return out.select("doc_id", F.col("m").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(False)).alias("kept"))
 
 
 def _components_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components of classes (id, n, sketch) with texts (id, words): ``id`` and ``label`` where they differ."""
-    keys = bucket_keys(nodes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a")).filter("size > 1")
-    shared = stage(shared, "buckets")
-    members = stage(keys.join(shared.select("key"), "key", "left_semi"), "members")
+    """Components of classes (id, m, sketch) with texts (id, words): ``id`` and ``label`` where they differ."""
+    keys = bucket_keys(nodes.select("id", "sketch"))
     # texts of the classes that share a bucket with another; the only time that texts are dealt out by id
-    asked = members.select("id").distinct()
-    classes = stage(texts.join(asked, "id", "left_semi").join(nodes.select("id", "n", "sketch"), "id"), "texts")
-    stars = members.join(shared, "key").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1"), "buckets")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    asked = keys.join(shared.select("key"), "key", "left_semi").select("id").distinct()
+    classes = stage(texts.join(asked, "id").join(nodes.select("id", "m", "sketch"), "id"), "texts")
+
+    early = bucket_keys(classes.select("id", "sketch"), FIRST_BANDS)
+    stars = joined_by_count(early, shared, "key", total).filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     likely = stage(estimated(stars, classes), "likely")
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b")
     labels = stage(components(verified(first, classes)), "labels")
     rest = across(likely.join(first, ["a", "b"], "left_anti"), labels)
     labels = joined(labels, stage(verified(rest, classes), "links"))
-    more = stage(residual_links(members, shared, classes, labels), "residual")
+
+    late = bucket_keys(labelled(classes.select("id", "sketch"), "id", labels))
+    mixed = stage(mixed_buckets(late), "mixed")
+    each = late.groupBy("key", "label").agg(F.min("id").alias("b")).join(mixed, "key", "left_semi")
+    stars = each.join(each.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a != b").select("a", "b").distinct()
+    labels = joined(labels, stage(verified(estimated(stars, classes), classes), "links"))
+
+    members = stage(joined_by_count(late.select("key", "id"), mixed, "key", total).filter("n > 2").drop("n"), "members")
+    members = labelled(members, "id", labels)
+    members = members.join(mixed_buckets(members).select("key"), "key", "left_semi")
+    more = stage(residual_links(members, classes), "residual")
     if not more.isEmpty():
         labels = joined(labels, more)
-    for done in (shared, members, likely, classes, more):
+    for done in (shared, likely, classes, mixed, more):
         unstage(done)
     return labels
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each group of near duplicates, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One row of each group of near duplicates, with all its columns."""
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    whole = stage(numbered(docs.select("doc_id", "text", row)).select("uid", "row"), "documents")
+    rows = stage(sketches(whole.select("uid", "row.doc_id", "row.text")), "sketches")
+    nodes, keepers = grouped(rows)
+    alone = nodes.join(keepers, "id", "left").filter("keeper is null or keeper.uid = id").select(F.col("id").alias("uid"))
+    kept = alone.unionByName(rows.filter("m = 0").select("uid"))
+    return whole.join(kept, "uid", "left_semi").select(*[F.col(f"row.`{c}`") for c in names])

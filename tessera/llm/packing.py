@@ -7,11 +7,15 @@ capacity, not by the data, and the plan is as good as one made over all pieces a
 
 1. Best-fit decreasing, from the longest length down, each into the fullest class that has room.
 2. Local search over classes of underfull bins: move a piece to another bin, exchange one for
-   one, or two for one, whenever that raises the sum of squared fills; emptied bins go. A step is
-   applied to as many bins of the two classes as can be paired.
+   one, or two for one, whenever the emptier one gives the fuller one more than it gets, which raises the sum of squared
+   fills; emptied bins go. A step is applied to as many bins of the two classes as can be paired. What
+   bins could give is indexed by length, and the search goes on until no step is left.
 3. Pieces get their place by their rank among those of the same length. Ranks are counted in
    hash buckets with an offset for each bucket and length, so no task sees all pieces of a length.
 
+Ids come from a faster encoder of the same vocabulary for texts in characters whose classes all
+Unicode versions agree on (``SETTLED``) and without very long runs of white space, and from the library itself for all others.
+
 Defined results: null text is a document of its end token alone; of repeated rows each is
 packed; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are
 ignored. Ranks are by bucket and then by all columns of a piece, so a task that runs again gives the same places.
@@ -21,8 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
+from heapq import heappop, heappush
 from functools import lru_cache
 
 import numpy as np
@@ -33,16 +38,22 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_text, ship, slices, stage
 
 CAPACITY, END_ID = 1024, 2
-#: Steps of the local search at most; each raises the squared fill.
-MAX_STEPS = 20_000
 #: Pieces in a hash bucket, about.
 BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
-#: Scripts that newer Unicode versions extend; a text with one is left to the library whose ids are asked for.
-NEWER_SCRIPTS = re.compile("[\U00010000-\U0001efff\U0001fb00-\U0010ffff\u0c5d\u0cf3\u1c89\u1c8a\ua7c0-\ua7f1]")
+#: Blocks and ranges that have been full for long, so that the class of each of their characters is the same in any table.
+SETTLED = "\\x00-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u21ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+UNSETTLED = re.compile(f"[^{SETTLED}]")
+#: White space in a run from which on a text is left to the library: the faster encoder's stack is bounded.
+LONG_SPACE = 16384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def has_long_space(text: str) -> bool:
+    """Whether there may be a run of ``LONG_SPACE`` white space: such a run fills one of the places looked at."""
+    return any(text[k : k + 64].isspace() for k in range(LONG_SPACE // 2, len(text) - LONG_SPACE // 2, LONG_SPACE // 2))
+
+
 class ByteEncoder:
     """Byte-level BPE ids as little-endian bytes, with what stands between two spaces kept in a cache.
 
@@ -100,7 +111,7 @@ class ByteEncoder:
             return self.ids(text)
 
     def encode(self, text: str) -> bytes:
-        if not text.isascii() and NEWER_SCRIPTS.search(text):
+        if not text.isascii() and UNSETTLED.search(text) or has_long_space(text):
             return self.by_library(text)
         if any(s in text for s in self.specials):
             return b"".join(self.specials[s].to_bytes(4, "little") if s in self.specials else self.ids(s) for s in self.special.split(text) if s)
@@ -181,67 +192,118 @@ class Bins:
         for classes in free.values():
             self.count.update(classes)
 
-    def _step(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-        """What bin ``a``, the emptier, gives ``b`` and gets back, for the largest rise of squared fill."""
-        gap, fa, fb = self.capacity - sum(b), sum(a), sum(b)
-        best, most = None, max(0, fa - fb)
-        ones_a, ones_b = sorted(set(a)), [0, *sorted(set(b))]
-        twos = lambda x: sorted({p + q: (p, q) for i, p in enumerate(x) for q in x[i + 1 :]}.items())
-        pairs_a, pairs_b = twos(a), twos(b)
-        gives = [((), 0)]
-        for gives, gets in (
-            ([(x, (x,)) for x in ones_a], [(y, (y,) if y else ()) for y in ones_b]),
-            (pairs_a, [(y, (y,)) for y in ones_b if y]),
-            ([(x, (x,)) for x in ones_a], pairs_b),
-        ):
-            sums = [x for x, _ in gives]
-            for y, back in gets:
-                k = bisect_left(sums, y + gap + 1) - 1
-                if k >= 0 and (d := sums[k] - y) > most:
-                    most, best = d, (gives[k][1], back)
-                    if d == gap:
-                        return best
-        return best
-
-    def search(self, max_steps: int = MAX_STEPS) -> int:
+    def search(self) -> int:
         """Raise the squared fill by moves and exchanges until none helps; the number of steps."""
-        steps, tried = 0, set()
-        while steps < max_steps:
-            under = sorted((x for x in self.count if sum(x) < self.capacity), key=lambda x: (sum(x), x))
-            done = False
-            for i, a in enumerate(under):  # from the emptiest; partners from the fullest
-                for b in reversed(under[i:]):
-                    if (a, b) in tried or a == b and self.count[a] < 2:
-                        continue
-                    if (step := self._step(a, b)) is None:
-                        tried.add((a, b))
-                        continue
-                    give, get = step
-                    n = self.count[a] // 2 if a == b else min(self.count[a], self.count[b])
-                    for bin_ in (a, b):
-                        self.count[bin_] -= n
-                        if not self.count[bin_]:
-                            del self.count[bin_]
-                    for bin_, out, in_ in ((a, give, get), (b, get, give)):
-                        new = list(bin_) + list(in_)
-                        for x in out:
-                            new.remove(x)
-                        if new:
-                            self.count[tuple(sorted(new, reverse=True))] += n
-                    steps, done = steps + 1, True
-                    if a not in self.count or steps >= max_steps:
-                        break
-                if done:
-                    break
-            if not done:
+        steps = 0
+        while done := Search(self).run():
+            steps += done
+        return steps
+
+
+class Search:
+    """One pass of the local search: from the fullest underfull class down, each is filled up as far as emptier ones have what it takes.
+
+    Donors are indexed by what they could give: each length, and each sum of two lengths. An
+    entry of the index is a heap of classes, the emptiest on top; entries of classes that are gone are skipped.
+    """
+
+    def __init__(self, bins: Bins):
+        self.bins, self.count, self.capacity = bins, bins.count, bins.capacity
+        self.donors: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.sizes: tuple[list[int], list[int]] = ([], [])
+        self.todo: list[tuple[int, tuple[int, ...]]] = []
+        self.known: set[tuple[int, ...]] = set()
+        for bin_ in sorted(self.count):
+            self.offer(bin_)
+
+    def offer(self, bin_: tuple[int, ...]) -> None:
+        fill = sum(bin_)
+        if fill == self.capacity:
+            return
+        heappush(self.todo, (-fill, bin_))
+        if bin_ in self.known:
+            return
+        self.known.add(bin_)
+        one = Counter(bin_)
+        two = {x + y for x in one for y in one if x < y or x == y and one[x] > 1}
+        for sums, donors, sizes in zip((one, two), self.donors, self.sizes, strict=True):
+            for s in sums:
+                if s not in donors:
+                    donors[s] = []
+                    insort(sizes, s)
+                heappush(donors[s], (fill, bin_))
+
+    def donor(self, which: int, total: int, bin_: tuple[int, ...], fill: int) -> tuple[int, ...] | None:
+        """The emptiest class, no fuller than ``fill``, that could give ``total`` as one length or two; another bin than ``bin_``."""
+        heap, aside, found = self.donors[which][total], [], None
+        while heap:
+            at, other = heap[0]
+            if not self.count.get(other):
+                heappop(heap)
+                self.known.discard(other)  # to be offered anew if it comes back
+                continue
+            if at > fill:
                 break
+            if other != bin_ or self.count[bin_] > 1:
+                found = other
+                break
+            aside.append(heappop(heap))
+        for x in aside:
+            heappush(heap, x)
+        if not heap:
+            del self.donors[which][total]
+            sizes = self.sizes[which]
+            sizes.pop(bisect_left(sizes, total))
+        return found
+
+    def step(self, bin_: tuple[int, ...]) -> tuple[tuple[int, ...], int, int, tuple[int, ...]] | None:
+        """What fills ``bin_`` most: the donor, as how many lengths it gives how much, and what it gets back."""
+        fill = sum(bin_)
+        gap, best, most = self.capacity - fill, None, 0
+        one = sorted(set(bin_))
+        backs = [((), 0), *(((y,), y) for y in one)]
+        pairs = sorted({x + y: (y, x) for i, x in enumerate(bin_) for y in bin_[i + 1 :]}.items())
+        for which, given in ((0, backs), (0, [(b, t) for t, b in pairs]), (1, backs[1:])):
+            sizes = self.sizes[which]
+            for back, total in given:
+                k = bisect_right(sizes, total + gap) - 1
+                while k >= 0 and sizes[k] - total > most:
+                    size = sizes[k]
+                    if (other := self.donor(which, size, bin_, fill)) is not None:
+                        most, best = size - total, (other, which + 1, size, back)
+                        break
+                    k = min(k, len(sizes)) - 1
+                if most == gap:
+                    return best
+        return best
+
+    def run(self) -> int:
+        steps = 0
+        while self.todo:
+            _, bin_ = heappop(self.todo)
+            while self.count.get(bin_) and (step := self.step(bin_)) is not None:
+                other, pieces, size, back = step
+                give = (size,) if pieces == 1 else next((x, size - x) for x in other if size - x in other and (x != size - x or other.count(x) > 1))
+                n = self.count[bin_] // 2 if other == bin_ else min(self.count[bin_], self.count[other])
+                for old in (bin_, other):
+                    self.count[old] -= n
+                    if not self.count[old]:
+                        del self.count[old]
+                for old, out, in_ in ((other, give, back), (bin_, back, give)):
+                    new = list(old)
+                    for x in out:
+                        new.remove(x)
+                    if new := tuple(sorted((*new, *in_), reverse=True)):
+                        self.count[new] += n
+                        self.offer(new)
+                steps += 1
         return steps
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> Bins:
+def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> Bins:
     bins = Bins(capacity)
     bins.best_fit_decreasing(lengths)
-    bins.search(max_steps)
+    bins.search()
     return bins
 
 
@@ -258,7 +320,7 @@ def places(bins: Bins) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {size: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for size, rows in slots.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of at most ``capacity``."""
     spark = pieces.sparkSession
     ship(spark)
@@ -271,7 +333,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int = MAX_STEPS
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if lengths and not 0 < min(lengths) <= max(lengths) <= capacity:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    where = places(plan(lengths, capacity, max_steps))
+    where = places(plan(lengths, capacity))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy(*keys))
