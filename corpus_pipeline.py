@@ -27,13 +27,13 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; those without letters or in none of them go."""
+    """Documents in one of the labelled languages; those without letters or in none of them go, and a missing ``lang`` is filled in."""
     return in_known_language(docs, learn(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out."""
-    return _measured(dedup_lines(docs), docs)
+    """Passages that an earlier document has are cut out; documents of which nothing is left go."""
+    return _measured(dedup_lines(docs).filter(F.col("text").rlike(r"\S")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
