@@ -47,14 +47,14 @@ from tessera.llm.common import joined_by_count, ship, slices, stage, unstage
 from tessera.llm.components import components
 
 WORDS, LIMIT = 5, 0.75
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 32, 4
 FIRST_BANDS = 8
-BAND_BITS = 6
+BAND_BITS = 5
 REGISTERS = BANDS * ROWS
 #: The scale of the registers: minima of rate ``RATE`` in powers of ``BASE``, cut to 0..255.
 BASE, RATE = 1.1, 20.0
 #: Pairs with a lower estimate are dropped: about five standard errors below the limit.
-LEAST_ESTIMATE = 0.58
+LEAST_ESTIMATE = 0.55
 #: Classes of a block, and bytes of their compressed words; rows of small buckets that are compared in one call; bytes of full sets kept at a time.
 BLOCK, BLOCK_BYTES, CALL_ROWS, SET_BYTES = 512, 8 << 20, 2000, 16 << 20
 CACHE_WORDS = 100_000

@@ -71,6 +71,44 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert all((x.n_shingles, x.component_id) == want[x.doc_id] for x in got)
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows are documents of their own: an id links nothing, and one row of each group stays."""
+    a, b = words(60, 1), words(60, 2)
+    rows = [(7, a), (7, b), (9, a + " more"), (None, b + " x"), (None, words(40, 5)), (None, words(40, 6)), (4, ""), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in N.near_duplicates(docs).collect())
+    assert got == sorted([(7, 56, 7, True), (7, 56, 7, True), (9, 57, 7, False), (-1, 57, 7, False), (-1, 36, -1, False), (-1, 36, -1, False), (4, 0, 4, True), (4, 0, 4, True), (-1, 0, -1, False)])
+    kept = sorted((r.doc_id or -1, r.text or "") for r in N.kept_documents(docs).collect())
+    assert kept == sorted([(7, a), (7, b), (-1, words(40, 5)), (-1, words(40, 6)), (4, ""), (4, ""), (-1, "")])
+
+
+def test_repeated_rows_cost_no_pairs(spark):
+    """Two near-alike documents, each given very often."""
+    import time
+
+    a = words(100, 3)
+    took = []
+    for n in (40, 2000):
+        docs = spark.createDataFrame([(k % 2, a + " more" * (k % 2)) for k in range(n)], "doc_id long, text string")
+        began = time.time()
+        got = N.near_duplicates(docs).collect()
+        took.append(time.time() - began)
+        assert len(got) == n and {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0)}
+        assert len(N.kept_documents(docs).collect()) == 1 if n == 40 else True
+    assert took[1] < 3 * took[0] + 5
+
+
+def test_a_large_component_and_many_others_in_a_bucket(spark, monkeypatch):
+    """Near copies of one text beside texts that are just below the limit with it, in small blocks."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    r = random.Random(12)
+    base = words(150, 3)
+    texts = [edited(base, r.randint(0, 2), r) for _ in range(60)] + [edited(base, r.randint(4, 9), r) for _ in range(40)]
+    got = N.near_duplicates(documents(spark, texts)).collect()
+    want = brute(dict(enumerate(texts)))
+    assert all((x.n_shingles, x.component_id) == want[x.doc_id] for x in got)
+
+
 def test_empty_table_and_null_ids(spark):
     assert N.near_duplicates(empty(spark)).count() == 0
     docs = spark.createDataFrame([(None, "one two three four five six"), (3, "one two three four five six")], "doc_id long, text string")
