@@ -71,7 +71,8 @@ def learn(labelled: DataFrame) -> tuple[Sample, ...]:
     order = rows.select("lang", F.when(F.col("size") > ROW_CHARS, F.col("size")).otherwise(0).alias("over"), "mix").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("over", "mix"))
     order = order.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS + CHECK_TEXTS).filter("over = 0 or rank = 1")
-    few = rows.join(order.select("lang", "mix", "rank"), ["lang", "mix"]).dropDuplicates(["lang", "mix"])
+    # a few rows of some bytes for each label, so that no text but the sample's is dealt out
+    few = rows.join(F.broadcast(order.select("lang", "mix", "rank")), ["lang", "mix"]).dropDuplicates(["lang", "mix"])
     texts: dict[str, list[str]] = {}
     for r in few.select("lang", "rank", "text").orderBy("lang", "rank").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
