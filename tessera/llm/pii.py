@@ -4,11 +4,12 @@ High-recall generators propose spans, which may overlap. Boosted trees score eac
 by its format and by the text around it, and a threshold for each kind, calibrated on held-out
 rows, selects. The trees are expressions, so scoring runs inside the engine like any other column.
 
-Four base kinds (``BASE``) are found by pattern and check alone and always stay; the selected
-candidates of the other kinds (``PROPOSED``) are added unless they overlap a base span.
+Four base kinds (``BASE``) are found by pattern and check alone and always stay. Candidates of the other kinds
+(``PROPOSED``) are looked for in what base spans leave of a text, so none overlaps one; they may overlap each other.
 
 Positions are code points, ends exclusive. They come from the lengths of the pieces between
-matches, summed in blocks, so that a text with very many matches takes linear time. The
+matches, summed in blocks; base spans are taken out, and texts redacted, by masks with one character for each of the text.
+So a text with very many matches takes linear time. The
 patterns give nothing back once matched, so no text takes quadratic time either.
 
 Training rows are generated here from formats and carriers (``training_rows``), are bounded by
@@ -16,7 +17,8 @@ Training rows are generated here from formats and carriers (``training_rows``),
 
 Defined results: null text counts as empty and has no spans; empty span lists have the digest
 of the empty string; repeated rows give repeated results; an empty table gives an empty result;
-``find`` ignores other columns than ``doc_id`` and ``text``, ``redact`` passes them through.
+``find`` ignores other columns than ``doc_id`` and ``text``, ``redact`` passes them through. A null text stays null in ``redact``;
+spans that overlap become one there, of the first one's kind.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ PROPOSED = {
     "secret": r"(?:(?<![A-Za-z0-9_+/=-])|\G)(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
 }
 PROPOSED_HINTS = {"contact": r"[\[({]at[\])}]", "number": r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}", "account": r"[A-Z]{2}[0-9]{2}", "secret": r"[A-Za-z0-9_+/=-]{16}"}
+#: In a mask: no span, and a span beyond its first character, which has a letter for its kind. What stands for base spans where candidates are looked for.
+CLEAR, INSIDE, TAKEN = "0", "-", "\x01"
 #: Matches whose places are summed up together.
 BLOCK = 512
 BEFORE, AFTER = 32, 12
@@ -252,14 +256,40 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[dict]:
     return rows
 
 
-def candidates(rows: DataFrame, kinds: dict[str, str], hints: dict[str, str]) -> DataFrame:
-    """Adds a column ``_<kind>`` of placed matches for each kind, computed from ``text``."""
-    keep = rows.columns
+def candidates(rows: DataFrame, kinds: dict[str, str], hints: dict[str, str], text: str = "text") -> DataFrame:
+    """Adds for each kind ``_m_<kind>`` and ``_p_<kind>``, matches in the column ``text`` and the pieces around them, and ``_<kind>``, the placed matches."""
     parts: list[Column] = []
     for k, pattern in kinds.items():
-        m, p = located(F.col("text"), pattern, hints[k])
+        m, p = located(F.col(text), pattern, hints[k])
         parts += [m.alias(f"_m_{k}"), p.alias(f"_p_{k}")]
-    return rows.select("*", *parts).select(*[F.col(c) for c in keep], *[placed(F.col(f"_m_{k}"), F.col(f"_p_{k}")).alias(f"_{k}") for k in kinds])
+    return rows.select("*", *parts).select("*", *[placed(F.col(f"_m_{k}"), F.col(f"_p_{k}")).alias(f"_{k}") for k in kinds])
+
+
+def mask(kind: str, sign: str) -> Column:
+    """A character for each of the text: ``sign`` and then ``INSIDE`` in spans of the kind, ``CLEAR`` elsewhere; null where it has no span."""
+    span = lambda r: F.when(r["ok"], F.concat(F.lit(sign), F.repeat(F.lit(INSIDE), F.length(r["m"]) - 1))).otherwise(F.repeat(F.lit(CLEAR), F.length(r["m"])))
+    rows = F.arrays_zip(F.col(f"_m_{kind}").alias("m"), F.col(f"_ok_{kind}").alias("ok"))
+    parts = F.zip_with(F.col(f"_p_{kind}"), rows, lambda p, r: F.concat(F.repeat(F.lit(CLEAR), F.length(p)), F.when(r.isNull(), F.lit("")).otherwise(span(r))))
+    return F.when(F.exists(F.col(f"_ok_{kind}"), lambda x: x), F.array_join(parts, ""))
+
+
+def overlaid(masks: list[Column]) -> Column:
+    """One mask of several, null where all are; where spans overlap, the first one goes on."""
+    pick = lambda x, y: F.when((x == INSIDE) | (y == INSIDE), F.lit(INSIDE)).when(x != CLEAR, x).otherwise(y)
+    both = lambda a, b: F.when(a.isNull(), b).otherwise(F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), pick), ""))
+    return F.aggregate(F.filter(F.array(*masks), lambda m: m.isNotNull()), F.lit(None).cast("string"), both)
+
+
+def painted(text: Column, over: Column, signs: dict[str, str], inside: str) -> Column:
+    """The text with what each sign of a mask stands for put in, and ``inside`` for what a span goes on with."""
+
+    def put(c: Column, m: Column) -> Column:
+        out = F.when(m == CLEAR, c).when(m == INSIDE, F.lit(inside))
+        for sign, word in signs.items():
+            out = out.when(m == sign, F.lit(word))
+        return out
+
+    return F.when(over.isNull(), text).otherwise(F.array_join(F.zip_with(F.split(text, ""), F.split(over, ""), put), ""))
 
 
 def fit(spark: SparkSession) -> Model:
@@ -287,30 +317,40 @@ def fit(spark: SparkSession) -> Model:
         # half-way between the last that counts and the next; even odds where all count, and never below
         s = raw[mine][order]
         last = enough[-1] if len(enough) else -1
-        least.append((k, float("inf") if last < 0 else max(0.0, float((s[last] + s[last + 1]) / 2)) if last + 1 < len(s) else 0.0))
+        if last < 0:
+            raise ValueError(f"no threshold gives {k} the precision asked for")
+        least.append((k, max(0.0, float((s[last] + s[last + 1]) / 2)) if last + 1 < len(s) else 0.0))
     fit.known = Model(start, trees, tuple(least))
     return fit.known
 
 
+#: The sign of each kind in masks.
+SIGNS = {k: chr(ord("A") + i) for i, k in enumerate([*BASE, *PROPOSED])}
+
+
 def with_spans(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds ``_base`` and ``_all``: arrays of (kind, start, end), by kind as listed and then by start."""
+    """Adds ``_base`` and ``_all``: arrays of (kind, start, end), by kind as listed and then by start; and ``_mask`` of all spans."""
     keep = [F.col(c) for c in rows.columns]
-    span = lambda k, c: F.struct(F.lit(k).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-    found = candidates(rows, BASE | PROPOSED, HINTS | PROPOSED_HINTS)
 
-    def checked(k: str) -> Column:
-        return F.transform(F.filter(F.col(f"_{k}"), lambda c: passes(k, c["match"])), lambda c: span(k, c))
+    def spans(k: str) -> Column:
+        both = F.arrays_zip(F.col(f"_{k}").alias("c"), F.col(f"_ok_{k}").alias("ok"))
+        return F.transform(F.filter(both, lambda r: r["ok"]), lambda r: F.struct(F.lit(k).alias("kind"), r["c"]["start"].alias("start"), r["c"]["end"].alias("end")))
 
-    found = found.withColumn("_base", F.concat(*map(checked, BASE)))
-    free = lambda c: ~F.exists(F.col("_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    found = candidates(rows, BASE, HINTS)
+    checked = lambda k: F.transform(F.col(f"_m_{k}"), lambda m: passes(k, m))
+    found = found.select("*", *[checked(k).alias(f"_ok_{k}") for k in BASE])
+    found = found.select("*", overlaid([mask(k, SIGNS[k]) for k in BASE]).alias("_taken"))
+    rest = F.when(F.col("text").rlike("|".join(PROPOSED_HINTS.values())), painted(F.col("text"), F.col("_taken"), {SIGNS[k]: TAKEN for k in BASE}, TAKEN)).otherwise(F.lit(""))
+    found = candidates(found.withColumn("_rest", rest), PROPOSED, PROPOSED_HINTS, "_rest")
     least = dict(model.least)
 
     def chosen(k: str) -> Column:
-        scored = F.transform(F.col(f"_{k}"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), features(k, c).alias("f")))
-        return F.transform(F.filter(scored, lambda c: (model.score(c["f"]) >= least[k]) & free(c)), lambda c: span(k, c))
+        scored = F.transform(F.col(f"_{k}"), lambda c: F.struct(features(k, c).alias("f")))
+        return F.transform(scored, lambda c: model.score(c["f"]) >= least[k])
 
-    usable = [k for k in PROPOSED if least[k] < float("inf")]
-    return found.withColumn("_all", F.concat(F.col("_base"), *[chosen(k) for k in usable])).select(*keep, "_base", "_all")
+    found = found.select("*", *[chosen(k).alias(f"_ok_{k}") for k in PROPOSED])
+    base = F.concat(*map(spans, BASE))
+    return found.select(*keep, base.alias("_base"), F.concat(base, *map(spans, PROPOSED)).alias("_all"), overlaid([F.col("_taken"), *[mask(k, SIGNS[k]) for k in PROPOSED]]).alias("_mask"))
 
 
 def listed(spans: Column) -> Column:
@@ -325,7 +365,11 @@ def find(docs: DataFrame) -> DataFrame:
     def number(k: str) -> Column:
         return F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
 
-    return found.select("doc_id", *map(number, BASE), F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))
+    size = F.size("_all").cast("long")
+    return found.select(
+        "doc_id", *map(number, BASE), F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"),
+        (size - F.size("_base")).alias("n_proposed"), size.alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -334,26 +378,6 @@ def redact(docs: DataFrame) -> DataFrame:
     # the text under a name of its own, so that no column of the table clashes with the working ones
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     found = with_spans(rows, fit(docs.sparkSession))
-    by_start = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.select("_row", "text", by_start.alias("_spans"))
-    kind = "array<struct<start:int,end:int,kind:string>>"
-    # overlapping spans become one, of the first one's kind
-    merged = F.aggregate(
-        "_spans",
-        F.array().cast(kind),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["end"] > s["start"]), F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))),
-        )).otherwise(F.concat(acc, F.array(s))),
-    )
-    n = F.greatest(F.size("_spans") - 1, F.lit(0))
-    overlap = F.exists(F.zip_with(F.slice("_spans", 1, n), F.slice("_spans", 2, n), lambda a, b: a["end"] > b["start"]), lambda x: x)
-    found = found.select("_row", "text", F.when(overlap, merged).otherwise(F.col("_spans")).alias("_spans"))
-    ends = F.transform("_spans", lambda s: s["end"])
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text")))
-    piece = lambda a, b: F.substring("text", a + 1, b - a)
-    parts = F.zip_with(F.concat(F.array(F.lit(0)), ends), starts, piece)
-    marks = F.concat(F.transform("_spans", lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
-    clean = F.when(F.size("_spans") > 0, F.array_join(F.zip_with(parts, marks, lambda p, m: F.concat(p, m)), "")).otherwise(F.col("text"))
+    clean = painted(F.col("text"), F.col("_mask"), {SIGNS[k]: f"[{k.upper()}]" for k in SIGNS}, "")
     text = F.when(F.col("_row.text").isNotNull(), clean)
     return found.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in names])
