@@ -1,15 +1,16 @@
 """TIFF columns: a writer and a reader of 8-bit grey images, one row per page.
 
 ``pages`` walks the image directories of a file, decodes PackBits, LZW or deflate data in
-strips or tiles, undoes horizontal predictors and yields each page's samples. ``write``
+strips or tiles, undoes horizontal predictors and yields each page's samples; ``page_rows`` makes rows of
+them, and ``media_digests`` folds the rows of a file, which follow each other, without holding more than a page. ``write``
 makes such files, with the layout of a page chosen by a checksum of its samples, so that
-equal payloads give equal files and a corpus has all layouts.
+equal payloads give equal files and a corpus has all layouts, each as often as the others.
 
 Defined results: null text counts as empty, which is a payload of 64 zero bytes; repeated
 texts give equal values; a payload of any length is cut into pages of at most ``PAGE_ROWS``
 rows of 64 samples, so decoding holds one page besides the file; columns other than
 ``doc_id`` and ``text`` are ignored; an empty table gives an empty result. A damaged file
-raises ``ValueError`` in ``pages``; ``page_rows`` gives such a file, and a null one, no rows
+raises ``ValueError`` in ``pages``, and no more is held than its data really decode to; ``page_rows`` gives such a file, and a null one, no rows
 unless told to fail.
 """
 
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import doc_text, ship, slices
+from tessera.llm.common import STEP_BYTES, doc_text, ship, slices
 
 WIDTH = 64
 #: Rows of samples on a page at most: 64 KB of payload.
@@ -69,6 +71,14 @@ def packbits_encode(row: bytes) -> bytes:
     return bytes(out)
 
 
+def packbits_encode_rows(rows: np.ndarray) -> bytes:
+    """Each row by itself; rows of up to 128 bytes without a run of three are one literal."""
+    same = rows[:, 1:] == rows[:, :-1]
+    runs = (same[:, 1:] & same[:, :-1]).any(axis=1) | (rows.shape[1] > 128)
+    head = bytes([min(128, rows.shape[1]) - 1])
+    return b"".join([packbits_encode(r.tobytes()) if run else head + r.tobytes() for r, run in zip(rows, runs.tolist(), strict=True)])
+
+
 def packbits_decode(data: bytes, size: int) -> bytes:
     out, at = bytearray(), 0
     while len(out) < size:
@@ -161,6 +171,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if code == LZW_END:
             break
         if previous is None:
+            if code > LZW_END:
+                raise ValueError("LZW code out of range")
             entry = table[code]
         else:
             if code < len(table):
@@ -186,7 +198,7 @@ def compress(block: np.ndarray, how: int) -> bytes:
     if how == LZW:
         return lzw_encode(raw)
     if how == PACKBITS:
-        return b"".join(packbits_encode(r.tobytes()) for r in block)
+        return packbits_encode_rows(block)
     return zlib.compress(raw, 6)
 
 
@@ -223,7 +235,8 @@ class Page:
 def layout(samples: bytes) -> tuple[int, int, bool]:
     """Compression, predictor and whether tiled, by the page's checksum."""
     k = zlib.crc32(samples)
-    return (DEFLATE, DEFLATE, DEFLATE, DEFLATE, LZW, PACKBITS, DEFLATE, OLD_DEFLATE)[k & 7], 1 + (k >> 3 & 1), bool(k >> 4 & 1)
+    k, scheme = divmod(k, 3)
+    return (PACKBITS, LZW, (DEFLATE, OLD_DEFLATE)[k >> 2 & 1])[scheme], 1 + (k & 1), bool(k >> 1 & 1)
 
 
 def write(payload: bytes) -> bytes:
@@ -306,7 +319,7 @@ def pages(data: bytes) -> Iterator[Page]:
             raise ValueError("the image directories form a ring")
         seen.add(at)
         tags, at = _directory(data, at, order)
-        one = lambda tag, default, tags=tags: tags.get(tag, [default])[0]
+        one = lambda tag, default, tags=tags: (tags.get(tag) or [default])[0]
         width, height, per = one(IMAGE_WIDTH, 0), one(IMAGE_LENGTH, 0), one(SAMPLES, 1)
         if set(tags.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1 or not width or not height:
             raise ValueError("only 8-bit samples in one plane are supported")
@@ -321,46 +334,59 @@ def pages(data: bytes) -> Iterator[Page]:
         across = -(-width // bw) if bw else 0
         if not bh or not across or len(offsets) != len(counts) or len(offsets) < across * -(-height // bh):
             raise ValueError("strips or tiles are missing")
-        image = np.empty((height, width, per), np.uint8)
-        for k in range(across * -(-height // bh)):
-            y, x = k // across * bh, k % across * bw
-            rows = bh if tiled else min(bh, height - y)
-            if offsets[k] + counts[k] > len(data):
-                raise ValueError("image data lie outside the file")
-            block = np.frombuffer(decompress(data[offsets[k] : offsets[k] + counts[k]], how, rows * bw * per), np.uint8).reshape(rows, bw, per)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=np.uint8)
-            image[y : y + rows, x : x + bw] = block[: height - y, : width - x]
-        yield Page(number, width, height, NAMES[how], predictor, tiled, image.tobytes())
+        image = []  # bands of rows, which take memory only once their data are decoded
+        for y in range(0, height, bh):
+            band, rows = [], bh if tiled else min(bh, height - y)
+            for k in range(y // bh * across, (y // bh + 1) * across):
+                if offsets[k] + counts[k] > len(data):
+                    raise ValueError("image data lie outside the file")
+                block = np.frombuffer(decompress(data[offsets[k] : offsets[k] + counts[k]], how, rows * bw * per), np.uint8).reshape(rows, bw, per)
+                band.append(np.cumsum(block, axis=1, dtype=np.uint8) if predictor == 2 else block)
+            image.append(np.concatenate(band, axis=1)[: height - y, :width].tobytes())
+        yield Page(number, width, height, NAMES[how], predictor, tiled, b"".join(image))
         number += 1
 
 
 PAGE_SCHEMA = "page int, width int, height int, compression string, predictor int, tiled boolean, samples binary"
 
 
-def page_rows(files: DataFrame, key: str, media: str, strict: bool = True) -> DataFrame:
-    """One row per page of the TIFF files in column ``media``: ``key``, the page's properties and samples."""
+def page_rows(files: DataFrame, keys: list[str], media: str, strict: bool = True) -> DataFrame:
+    """One row per page of the TIFF files in column ``media``: ``keys``, the page's properties and samples; a file's pages follow each other."""
     ship(files.sparkSession)
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary())
+    names = [*keys, *(c.split()[0] for c in PAGE_SCHEMA.split(", "))]
 
     def run(batches):
         for batch in batches:
-            for k, data in zip(batch.column(0), batch.column(1), strict=True):
-                found = []
+            which: list[int] = []
+            found: list[tuple] = []
+            size = 0
+
+            def made(batch=batch, which=which, found=found) -> pa.RecordBatch:
+                kept = batch.select(keys).take(pa.array(which, pa.int32()))
+                return pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], names=names)
+
+            for k, data in enumerate(batch.column(media)):
                 try:
-                    found = list(pages(data.as_py())) if data.is_valid else []
+                    # a file that may be damaged gives all of its pages or none
+                    read = pages(data.as_py()) if data.is_valid else []
+                    for p in read if strict else list(read):
+                        which.append(k)
+                        found.append((p.number, p.width, p.height, p.compression, p.predictor, p.tiled, p.samples))
+                        size += len(p.samples)
+                        if size >= STEP_BYTES:
+                            yield made()
+                            which.clear()
+                            found.clear()
+                            size = 0
                 except ValueError:
                     if strict:
                         raise
-                if found:
-                    cols = zip(*((p.number, p.width, p.height, p.compression, p.predictor, p.tiled, p.samples) for p in found), strict=True)
-                    types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k.as_py()] * len(found), batch.column(0).type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-                        names=[key, "page", "width", "height", "compression", "predictor", "tiled", "samples"],
-                    )
+            if found:
+                yield made()
 
-    kind = files.schema[key].dataType.simpleString()
-    return files.select(F.col(key), F.col(media)).mapInArrow(run, f"`{key}` {kind}, {PAGE_SCHEMA}")
+    schema = T.StructType([*files.select(*keys).schema.fields, *T.StructType.fromDDL(PAGE_SCHEMA).fields])
+    return files.select(*keys, media).mapInArrow(run, schema)
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -384,29 +410,55 @@ def stored(docs: DataFrame) -> DataFrame:
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def feature(found: list[Page], samples: np.ndarray) -> str:
-    """Pages, layouts, mean sample and mean step along a row, both in thousandths."""
-    kinds = sorted({f"{p.compression}{'+diff' if p.predictor == 2 else ''}{'/tiles' if p.tiled else '/strips'}" for p in found})
-    rows = samples.reshape(-1, WIDTH).astype(np.int16)
-    mean = int(rows.sum(dtype=np.int64)) * 1000 // rows.size
-    step = int(np.abs(np.diff(rows, axis=1)).sum(dtype=np.int64)) * 1000 // rows.size
-    return f"{len(found)}:{','.join(kinds)}:{mean}:{step}"
+class Reading:
+    """What is gathered of a file's pages, one after another."""
+
+    def __init__(self):
+        self.sha, self.bytes, self.tail, self.kinds, self.pages, self.total, self.steps = hashlib.sha256(), 0, b"", set(), 0, 0, 0
+
+    def add(self, page: dict) -> None:
+        samples = page["samples"]
+        rows = np.frombuffer(samples, np.uint8).reshape(-1, page["width"]).astype(np.int16)
+        self.sha.update(samples)
+        self.bytes += len(samples)
+        self.tail = (self.tail + samples)[-64:]
+        self.pages += 1
+        self.kinds.add(f"{page['compression']}{'+diff' if page['predictor'] == 2 else ''}{'/tiles' if page['tiled'] else '/strips'}")
+        self.total += int(rows.sum(dtype=np.int64))
+        self.steps += int(np.abs(np.diff(rows, axis=1)).sum(dtype=np.int64))
+
+    def feature(self) -> str:
+        """Pages, layouts, mean sample and mean step along a row, both in thousandths."""
+        return f"{self.pages}:{','.join(sorted(self.kinds))}:{self.total * 1000 // self.bytes}:{self.steps * 1000 // self.bytes}"
 
 
 def media_digests(files: DataFrame) -> DataFrame:
-    """Digests and features of stored texts, all from what the reader gets back."""
-    ship(files.sparkSession)
+    """Digests and features of stored texts (``doc_id``, ``n_bytes``, ``media``), folded from the rows of their pages."""
+    own = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    facts = files.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for doc, n, media in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
-                data = media.as_py()
-                found = list(pages(data))
-                read = b"".join(p.samples for p in found)
-                out.append((doc, n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(found, np.frombuffer(read, np.uint8))))
-            if out:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in DIGESTS.split(", ")])
-
-    return files.mapInArrow(run, DIGESTS)
+        now, read, out = None, None, []
+
+        def close() -> None:
+            if read is not None:
+                out.append((now["doc_id"], now["n_bytes"], read.bytes, read.sha.hexdigest(), zlib.crc32(read.tail), now["media_bytes"], now["media_sha256"], read.feature()))
+
+        def batch() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 8, types, strict=True)], names=names)
+
+        for pages_ in batches:
+            for part in slices(pages_, "samples"):
+                for row in part.to_pylist():
+                    if row["page"] == 0:
+                        close()
+                        now, read = {c: row[c] for c in own}, Reading()
+                    read.add(row)
+                yield batch()
+                out.clear()
+        close()
+        yield batch()
+
+    return page_rows(facts, own, "media").mapInArrow(run, DIGESTS)

@@ -90,10 +90,52 @@ def test_damaged_files(spark):
         with pytest.raises(ValueError):
             list(tiff.pages(bad))
     files = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"no")), (3, None)], "id long, media binary")
-    rows = tiff.page_rows(files, "id", "media", strict=False).collect()
+    rows = tiff.page_rows(files, ["id"], "media", strict=False).collect()
     assert [(r.id, r.page, bytes(r.samples)) for r in rows] == [(1, 0, payload)]
 
 
+def test_layouts_are_dealt_evenly():
+    r = random.Random(4)
+    seen = [tiff.layout(r.randbytes(64)) for _ in range(3000)]
+    for scheme in ({tiff.PACKBITS}, {tiff.LZW}, {tiff.DEFLATE, tiff.OLD_DEFLATE}):
+        assert 900 < sum(how in scheme for how, _, _ in seen) < 1100
+    assert len(set(seen)) == 16 and 1400 < sum(p == 2 for _, p, _ in seen) < 1600 and 1400 < sum(t for _, _, t in seen) < 1600
+
+
+def directory(tags, body=b""):
+    out = b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags))
+    return out + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+
+
+def test_damage_of_all_kinds_is_a_value_error():
+    whole = [(256, 4, 1, 64), (257, 4, 1, 1), (258, 3, 1, 8), (259, 3, 1, tiff.LZW), (273, 4, 1, 8), (278, 4, 1, 1), (279, 4, 1, 8)]
+    unassigned = tiff.pack_codes(np.array([256, 300, 5, 257]), np.full(4, 9)).ljust(8, b"\0")
+    huge = [(256, 4, 1, 200_000), (257, 4, 1, 200_000), (258, 3, 1, 8), (273, 4, 1, 8), (278, 4, 1, 200_000), (279, 4, 1, 8)]
+    none = [(t, kind, 0 if t == 256 else n, v) for t, kind, n, v in whole]
+    files = [directory(whole, unassigned), directory(none, bytes(8)), *(directory([*huge, (259, 3, 1, how)], bytes(8)) for how in (1, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS))]
+    r = random.Random(7)
+    good = tiff.write(tiff.payload_of("some text " * 300)[1])
+    for _ in range(400):  # any byte may be wrong
+        bad = bytearray(good)
+        for _ in range(r.randint(1, 4)):
+            bad[r.randrange(len(bad))] = r.randrange(256)
+        files.append(bytes(bad[: r.randint(8, len(bad))] if r.random() < 0.3 else bad))
+    for k, data in enumerate(files):
+        try:
+            list(tiff.pages(data))
+            assert k >= 6
+        except ValueError:
+            pass
+
+
+def features(text):
+    """Mean and mean step of the samples, from the text alone."""
+    raw = text.encode()
+    payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+    steps = sum(abs(payload[k] - payload[k - 1]) for k in range(len(payload)) if k % 64)
+    return -(-len(payload) // 65_536), sum(payload) * 1000 // len(payload), steps * 1000 // len(payload)
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_query_columns(spark, extra):
     texts = [*hard_texts(), "w " * 60_000]
@@ -104,6 +146,8 @@ def test_query_columns(spark, extra):
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         data = tiff.write(payload)
+        n, kinds, mean, step = r.feature.split(":")
+        assert (int(n), int(mean), int(step)) == features(texts[r.doc_id] or "") and all(x.split("/")[1] in ("tiles", "strips") for x in kinds.split(","))
         assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
     assert len({r.feature for r in got if r.doc_id in (8, 9)}) == 1
     assert tiff.media_digests(tiff.stored(empty(spark))).count() == 0
