@@ -6,21 +6,25 @@ vantage vector and how far those on its inner and outer side lie from it; by the
 inequality a side whose closest possible distance is beyond the k-th best found so far holds
 nothing. That bound is multiplied by ``factor``: one, the default, is exact, more skips sides sooner.
 
-Rows are dealt to shards by a hash, so no value of a column decides a shard's size, and
-queries meet shards in blocks: a task holds one shard's tree and one block. Equal vectors of
-a shard are one point of its tree with their smallest ids, as many as a result can hold and one
-more for the query's own, so a large group of copies costs nothing and loses nothing. Merging
-the k best of each shard is a partial aggregation.
+Rows are dealt to shards by a hash, so no value of a column decides a shard's size. Each shard's tree is built
+once and staged; then queries meet the trees in blocks: a task holds one tree and one block. Equal vectors of
+a shard are one point of its tree with their smallest ids, enough of them for any result without the
+query's own, so a large group of copies costs nothing and loses nothing. Merging
+the k best of each shard is a partial aggregation. Each query meets each shard, so the work is that of queries
+times shards, and trees are sent once for each block.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no
-part, neither as queries nor as candidates; ties go to the smaller id; a query with fewer
+part, neither as queries nor as candidates, and neither do those of another length than most have (the shorter
+one of equally frequent lengths); ties go to the smaller id; a query with fewer
 than k candidates gets all; of rows that repeat an id each is a candidate, but none for a query of that
-id; an empty table gives an empty result; other columns are ignored.
-Vectors must have one length; a row of another length than most raises an error.
+id; rows that repeat a query's id and vector are one query, and an id with several query vectors gets the k best of all of them
+together; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +34,7 @@ from tessera.llm.common import ship, stage
 
 K = 20
 #: Vectors in a shard: a share of all, between these bounds; queries in a block, about.
-SHARES, LEAST_SHARD, MOST_SHARD, BLOCK_ROWS = 8, 2048, 65_536, 2048
+SHARES, LEAST_SHARD, MOST_SHARD, BLOCK_ROWS = 8, 2048, 65_536, 16_384
 LEAF = 48
 NO_ID = np.iinfo(np.int64).max
 #: Relaxation of the pruning bound; 1.0 is exact. The bound holds the raised component, which is far larger than
@@ -141,30 +145,38 @@ class BestK:
         self.reach[rows] = np.sqrt(np.maximum(0, self.norms2[rows] + self.top * self.top - 2 * last)) * (1 + 1e-9) + 1e-9
 
 
+class Shard:
+    """The tree over the different vectors of a shard, and the ids of each."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, top: float, k: int):
+        order = np.lexsort((ids, *vectors.T[::-1]))
+        vectors, ids = vectors[order], ids[order]
+        first = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1)))
+        starts = np.flatnonzero(first)
+        # an id counts k times at most; then of 2k rows at least k are left without the rows of any one id
+        repeat = np.arange(len(ids)) - np.maximum.accumulate(np.where(first | np.concatenate(([True], ids[1:] != ids[:-1])), np.arange(len(ids)), 0))
+        self.ids = [g[r < k][: 2 * k] for g, r in zip(np.split(ids, starts[1:]), np.split(repeat, starts[1:]), strict=True)]
+        self.points, self.top, self.k = vectors[starts], top, k
+        self.tree = VantageTree(np.hstack((self.points, np.sqrt(np.maximum(0, top * top - (self.points**2).sum(axis=1)))[:, None])))
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, vector ids and scores of the k best for each query."""
+        best = BestK(queries, query_ids, self.points, self.ids, self.top, self.k)
+        self.tree.search(np.hstack((queries, np.zeros((len(queries), 1)))), best, factor)
+        at, rank = np.nonzero(best.id != NO_ID)
+        # row by row, so that a pair's score doesn't depend on what else was searched
+        score = (queries[at] * self.points[best.point[at, rank]]).sum(axis=1)
+        return query_ids[at], best.id[at, rank], score
+
+
 def shard_search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, vector ids and scores of the k best of one shard for each query."""
-    order = np.lexsort((ids, *vectors.T[::-1]))
-    vectors, ids = vectors[order], ids[order]
-    starts = np.flatnonzero(np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1))))
-    groups = [ids[a : min(b, a + k + 1)] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
-    points = vectors[starts]
-    raised = np.hstack((points, np.sqrt(np.maximum(0, top * top - (points**2).sum(axis=1)))[:, None]))
-    tree = VantageTree(raised)
-    best = BestK(queries, query_ids, points, groups, top, k)
-    tree.search(np.hstack((queries, np.zeros((len(queries), 1)))), best, factor)
-    at, rank = np.nonzero(best.id != NO_ID)
-    # row by row, so that a pair's score doesn't depend on what else was searched
-    score = (queries[at] * points[best.point[at, rank]]).sum(axis=1)
-    return query_ids[at], best.id[at, rank], score
+    return Shard(vectors, ids, top, k).search(queries, query_ids, factor)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.diff(column.offsets.to_numpy())
-    if len(sizes) and (sizes != sizes[0]).any():
-        raise ValueError("vectors differ in length")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int | None = None) -> DataFrame:
@@ -173,24 +185,33 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
     ship(spark)
     plain = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows, queries = stage(plain(rows), "vectors"), plain(queries)
-    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.agg(F.count("*").alias("n"), F.max(norm2).alias("m")).first()
-    if not facts["n"]:
+    usual = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    top = float(np.sqrt(facts["m"])) * (1 + 1e-12)
-    shard_rows = shard_rows or min(MOST_SHARD, max(LEAST_SHARD, facts["n"] // SHARES))
-    shards = max(1, -(-facts["n"] // shard_rows))
+    rows, queries = (df.filter(F.size("embedding") == usual["size"]) for df in (rows, queries))
+    queries = stage(queries.select("vec_id", "embedding").distinct(), "queries")
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    top = float(np.sqrt(rows.agg(F.max(norm2)).first()[0])) * (1 + 1e-12)
+    shard_rows = shard_rows or min(MOST_SHARD, max(LEAST_SHARD, usual["count"] // SHARES))
+    shards = max(1, -(-usual["count"] // shard_rows))
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    # each block of queries meets each shard; a cell holds one shard and one block
+
+    def build(key: tuple[pa.Scalar, ...], vectors: pa.Table) -> pa.Table:
+        shard = Shard(matrix(vectors.column("embedding")), vectors.column("vec_id").to_numpy(), top, k)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([pickle.dumps(shard, 5)], pa.binary())], names=["s", "tree"])
+
+    trees = stage(rows.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")).groupBy("s").applyInArrow(build, "s long, tree binary"), "trees")
+    # each block of queries meets each shard; a cell holds one tree and one block
     cell = lambda s, b: (s * blocks + b).cast("long").alias("cell")
     numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), F.explode(numbers(blocks)).alias("b"), "vec_id", "embedding").select(cell(F.col("s"), F.col("b")), "vec_id", "embedding")
+    left = trees.select("s", "tree", F.explode(numbers(blocks)).alias("b")).select(cell(F.col("s"), F.col("b")), "tree")
     right = queries.select(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).alias("b"), F.explode(numbers(shards)).alias("s"), "vec_id", "embedding").select(cell(F.col("s"), F.col("b")), "vec_id", "embedding")
 
-    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(tree: pa.Table, asked: pa.Table) -> pa.Table:
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        if vectors.num_rows and asked.num_rows:
-            found = shard_search(matrix(vectors.column("embedding")), vectors.column("vec_id").to_numpy(), matrix(asked.column("embedding")), asked.column("vec_id").to_numpy(), top, k, factor)
+        if tree.num_rows and asked.num_rows:
+            shard = pickle.loads(tree.column("tree")[0].as_buffer())
+            found = shard.search(matrix(asked.column("embedding")), asked.column("vec_id").to_numpy(), factor)
         return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, "query_id long, vec_id long, score double")

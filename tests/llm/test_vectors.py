@@ -64,6 +64,25 @@ def test_few_candidates_and_empty_tables(spark):
 
 
 def test_vectors_of_other_lengths(spark):
-    rows = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="length"):
-        V.nearest(rows, rows).collect()
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (20, [1.0]), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert [(a.query_id, a.vec_id, a.score) for a in V.nearest(rows, rows.filter("vec_id % 20 = 0")).collect()] == [(0, 1, 3.0)]
+
+
+def test_rows_that_repeat_the_querys_id(spark):
+    """Many rows of the query's own id have the vector of other ids, which are its nearest."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(80, 6))
+    near = x[0] * 2
+    more = [(0, [float(v) for v in near], 0)] * 30 + [(k, [float(v) for v in near], 0) for k in range(100, 130)] + [(200, [float(v) for v in near], 0)] * 40
+    rows = frame(spark, np.arange(80), x, more)
+    got = V.nearest(rows, frame(spark, [0], x[:1]), shard_rows=1000).collect()
+    assert [a.vec_id for a in sorted(got, key=lambda a: a.rank)] == list(range(100, 120))
+    # of an id that repeats, each row is a candidate
+    got = V.nearest(frame(spark, [], [], more[60:] + [(1, [1.0] * 6, 0)]), frame(spark, [1], [[float(v) for v in near]]), k=50).collect()
+    assert [a.vec_id for a in got] == [200] * 40
+
+
+def test_clashing_columns(spark):
+    rows = frame(spark, np.arange(40), np.random.default_rng(8).normal(size=(40, 4))).selectExpr("*", "1 AS s", "2 AS cell", "'x' AS tree", "0 AS rank", "0.5D AS score", "3 AS b")
+    got = V.nearest(rows, rows.filter("vec_id % 20 = 0")).collect()
+    assert len(got) == 40 and {a.query_id for a in got} == {0, 20}
