@@ -4,6 +4,8 @@ A text is brought to a canonical form (case, copyright lines, punctuation, white
 equivalent spellings) and its SHA-256 is looked up among those of known licences, which are
 computed by the same expression. Whole texts are joined by digest with the table of known
 licences; besides, each line that could be a licence notice is looked up among the notices.
+Whole texts of the larger licences lie in ``licence_texts``, a file for each, named by its identifier; those with an appendix on how to
+apply them are known without it, too.
 
 Defined results: a null text has null digest, licence and notices; an empty text has the digest of
 the empty form and no licence; repeated rows and ties give repeated results; columns other than
@@ -14,6 +16,7 @@ a fixed number of rows, so it is broadcast; nothing else is dealt out.
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +85,8 @@ LICENCES = {
     "Apache-2.0": [APACHE_HEADER],
     "GPL-3.0": [GPL3_HEADER],
 }
+#: Ends the terms of licences that have an appendix.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
@@ -100,14 +105,15 @@ SPELLINGS = [
 #: Every notice has it, in any spelling; other lines need no digest.
 NOTICE_MARK = "licen"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Lines of their own that name a holder or a year, and the customary reservation.
-COPYRIGHT_LINES = r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]+(c\)|©|[0-9]{4}|by )|\(c\)|©|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
+# Lines of their own that name a holder or a year, and the customary reservation; "(c)" alone is an item of a list.
+COPYRIGHT_LINES = r"^[^a-z0-9\n]*(copyright[^a-z0-9\n]+(c\)|©|[0-9]{4}|by )|\(c\)[^a-z0-9\n]*[0-9]{4}|©|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
 JOINTS = r"[\x00-\x20\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f“”‘’«»–—…©]+"
 
 
 def canonical(text: Column) -> Column:
     """The form of a text that its digest is taken of."""
-    out = F.regexp_replace(F.translate(text, UPPER, LOWER), F.lit(COPYRIGHT_LINES), F.lit(""))
+    # d: lines end with a line feed only, as they do for the driver and in SQL
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), F.lit("(?md)" + COPYRIGHT_LINES), F.lit(""))
     out = F.regexp_replace(F.regexp_replace(out, "https://", "http://"), JOINTS, " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -122,13 +128,23 @@ def canonical_text(text: str) -> str:
     """``canonical`` on the driver, for the table of known texts."""
     import re
 
-    out = re.sub(COPYRIGHT_LINES, "", text.translate(str.maketrans(UPPER, LOWER)))
+    out = re.sub("(?m)" + COPYRIGHT_LINES, "", text.translate(str.maketrans(UPPER, LOWER)))
     out = re.sub(JOINTS, " ", out.replace("https://", "http://"))
     for a, b in SPELLINGS:
         out = out.replace(a, b)
     return out.strip(" ")
 
 
+def all_licences() -> dict[str, list[str]]:
+    """Texts by licence: those above and the files."""
+    out = {k: list(v) for k, v in LICENCES.items()}
+    for file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(END_OF_TERMS)
+        out.setdefault(file.stem, []).extend([text, terms + end, terms] if end else [text])
+    return out
+
+
 def known(texts: dict[str, list[str]]) -> dict[str, str]:
     """Digest to licence."""
     return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, all_ in texts.items() for t in all_}
@@ -137,7 +153,7 @@ def known(texts: dict[str, list[str]]) -> dict[str, str]:
 def license_scan(docs: DataFrame, licences: dict[str, list[str]] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
     """Per document: the digest of its canonical form, the licence it is in whole, and the licences that its lines name."""
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(known(licences or LICENCES).items()), "digest string, license string")
+    table = spark.createDataFrame(list(known(licences or all_licences()).items()), "digest string, license string")
     marks = known(notices or NOTICES)
     lookup = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
     lines = F.filter(F.split("text", "\n"), lambda x: F.contains(F.translate(x, UPPER, LOWER), F.lit(NOTICE_MARK)))
@@ -150,7 +166,7 @@ def oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        out = f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {quoted(COPYRIGHT_LINES)}, '', 'g')"
+        out = f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {quoted("(?m)" + COPYRIGHT_LINES)}, '', 'g')"
         out = f"regexp_replace(replace({out}, 'https://', 'http://'), {quoted(JOINTS)}, ' ', 'g')"
         for a, b in SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
@@ -158,7 +174,7 @@ def oracle() -> str:
 
     rows = lambda texts: ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in known(texts).items())
     return f"""
-WITH lic(digest, license) AS (VALUES {rows(LICENCES)}), mark(digest, license) AS (VALUES {rows(NOTICES)}),
+WITH lic(digest, license) AS (VALUES {rows(all_licences())}), mark(digest, license) AS (VALUES {rows(NOTICES)}),
 d AS (SELECT doc_id, text, row_number() OVER () AS row_no FROM documents),
 line AS (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM d),
 named AS (
