@@ -11,8 +11,9 @@ text empty, a null turn comes first; an empty table gives an empty result; other
 ignored. A rendering is cut into parts of ``PART_TURNS`` turns, so that no row grows with the
 length of a conversation; joined in the order of ``part`` they are the whole.
 
-No task collects a conversation: prefixes are a running window, copies are counted with
-partial sums before they are dealt out, and a part has a bounded number of turns.
+No row collects a conversation: prefixes are a running window, whose sort has a conversation's turns in one task and spills
+to disk, copies are counted with partial sums before they are dealt out, and a part has a bounded number of turns. Prefixes
+are equal where both sums, the number of turns among what is summed, agree; with 128 bits, texts aren't compared again.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ def maximal_conversations(prefixes: DataFrame) -> DataFrame:
 
 def rendered_conversations(conversations: DataFrame) -> DataFrame:
     """The maximal conversations in ChatML, one row for each part."""
-    turns = turn_prefixes(conversations)
-    kept = maximal_conversations(stage(turns.drop("role", "text"), "prefixes"))
+    turns = stage(turn_prefixes(conversations), "prefixes")
+    kept = maximal_conversations(turns.drop("role", "text"))
     line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     parts = (
         turns.select("conv_id", "idx", line.alias("line"))
