@@ -15,8 +15,8 @@ Learning reads all labels; the sample is bounded: in the order of a hash of the
 make the automaton and ``CHECK_TEXTS`` more calibrate, all of at most ``ROW_CHARS`` characters; a language that has
 only longer ones is learned from its shortest.
 
-``in_known_language`` decides by the mean length of phrases. Its limit for each language lies a ``MARGIN`` of the way from what the
-calibration texts have when their letters are shuffled to what they have as they are. A text of fewer than ``ENOUGH`` symbols says
+``in_known_language`` decides by the mean length of phrases for all samples together, so texts that mix languages stay. The limit lies a ``MARGIN``
+of the way from what a language's calibration texts have when their letters are shuffled to what they have as they are, in the language where that is least. A text of fewer than ``ENOUGH`` symbols says
 too little for that: it stays where at least half of its letters are in one language's sample.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is any
@@ -241,25 +241,32 @@ class CrossParser:
 
 
 class Identifier:
-    def __init__(self, samples: tuple[Sample, ...]):
+    """``rejects``: with what ``known`` needs."""
+
+    def __init__(self, samples: tuple[Sample, ...], rejects: bool = True):
         self.labels = [s.label for s in samples]
         self.parser = CrossParser([s.text for s in samples])
         self.letters = [{c for c in s.text.lower() if c.isalpha()} for s in samples]
-        self.least = np.zeros(len(samples))
-        for k, s in enumerate(samples):
-            real = [t for t in s.checks or (s.text,) if len(t) >= ENOUGH]
-            r = np.random.default_rng(7)
-            mixed = ["".join(np.array(list(t))[r.permutation(len(t))]) for t in real]
-            if s.checks and real:
-                a, b = (float(np.median(self.matches(x)[:, k])) for x in (mixed, real))
-                self.least[k] = a + MARGIN * (b - a)
-        # a language without texts to calibrate with takes the others' mildest limit
-        self.least[self.least == 0] = min(self.least[self.least > 0], default=1.5)
+        if not rejects or not samples:
+            return
+        self.every = CrossParser(["\n".join(s.text for s in samples)])
+        self.least = min((x for s in samples if (x := self.limit(s.checks))), default=1.5)
+
+    def limit(self, texts: tuple[str, ...]) -> float | None:
+        """Mean symbols in a phrase that separates texts from their letters at random."""
+        real = [t for t in texts if len(t) >= ENOUGH]
+        if not real:
+            return None
+        r = np.random.default_rng(7)
+        mixed = ["".join(np.array(list(t))[r.permutation(len(t))]) for t in real]
+        a, b = (float(np.median(self.matches(x))) for x in (mixed, real))
+        return a + MARGIN * (b - a)
 
     def matches(self, texts: list[str]) -> np.ndarray:
-        """Mean symbols in a phrase of each text for each language."""
-        phrases, sizes = self.costs(texts)
-        return sizes[:, None] / np.maximum(phrases, 1)
+        """Mean symbols in a phrase of each text for all samples together."""
+        flat, starts = symbols(texts)
+        sizes = np.diff(np.concatenate((starts, [len(flat)]))) - 1
+        return sizes / np.maximum(self.every.phrases(flat, starts)[:, 0], 1)
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) for each language, and the texts' lengths in symbols."""
@@ -268,24 +275,27 @@ class Identifier:
         flat, starts = symbols(texts)
         return self.parser.phrases(flat, starts), np.diff(np.concatenate((starts, [len(flat)]))) - 1
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
-        """Labels, scores, and whether the texts' phrases for that language are long enough; and the texts' lengths."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Labels and scores."""
         phrases, sizes = self.costs(texts)
         if not self.labels or not texts:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts), np.zeros(len(texts), bool), sizes
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         bits = phrases * self.parser.bits / np.maximum(sizes, 1)[:, None]
-        best = bits.argmin(axis=1)
         odds = np.exp(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True)))
-        score = 1 / odds.sum(axis=1)
-        match = sizes / np.maximum(phrases[np.arange(len(texts)), best], 1)
-        return [self.labels[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0).tolist(), match >= self.least[best], sizes
+        return [self.labels[b] if n else UNDETERMINED for b, n in zip(bits.argmin(axis=1), sizes, strict=True)], np.where(sizes > 0, 1 / odds.sum(axis=1), 0.0).tolist()
 
     def known(self, texts: list[str | None]) -> tuple[list[bool], list[str]]:
         """Whether each text is in a known language, and its label."""
-        label, _, fits, sizes = self.predict(texts)
+        label, _ = self.predict(texts)
+        if not self.labels or not texts:
+            return [False] * len(texts), label
+        plain = ["" if t is None else t for t in texts]
+        flat, starts = symbols(plain)
+        sizes = np.diff(np.concatenate((starts, [len(flat)]))) - 1
         out = []
-        for t, k, ok, n in zip(texts, label, fits.tolist(), sizes.tolist(), strict=True):
-            if k != UNDETERMINED and n < ENOUGH:
+        for t, k, match, n in zip(plain, label, self.matches(plain).tolist(), sizes.tolist(), strict=True):
+            ok = match >= self.least
+            if n < ENOUGH:
                 letters = [c for c in t.lower() if c.isalpha()]
                 ok = any(2 * sum(c in known for c in letters) >= len(letters) for known in self.letters)
             out.append(ok and k != UNDETERMINED)
@@ -295,12 +305,12 @@ class Identifier:
 def identify(docs: DataFrame, samples: tuple[Sample, ...]) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of each row."""
     ship(docs.sparkSession)
-    tool = Identifier(samples)
+    tool = Identifier(samples, rejects=False)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", STEP):
-                label, score, _, _ = tool.predict(batch.column("text").to_pylist())
+                label, score = tool.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
