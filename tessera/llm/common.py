@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, in tests, a temporary one that goes when the driver ends."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tessera-")
-        shared_dir.own = where
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        where = getattr(shared_dir, "own", None)
+        if not where:
+            where = shared_dir.own = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where.rstrip("/")
 
 

@@ -85,11 +85,11 @@ def filled(text: bytes) -> list[bytes]:
     return [x for x in text.split(b"\n") if x and not x.isspace()]
 
 
-def digest(body: bytes) -> bytes:
-    return hashlib.blake2b(body, digest_size=DIGEST_BYTES).digest()
+def digest(body: bytes, size: int = DIGEST_BYTES) -> bytes:
+    return hashlib.blake2b(body, digest_size=size).digest()
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
+def occurrences(rows: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """``id``, ``h``, ``a``, ``z`` and ``digest`` of each chunk, from ``id``, ``h`` and ``text``."""
 
     def run(batches):
@@ -102,7 +102,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
                         which.append(k)
                         starts.append(a)
                         ends.append(z)
-                        digests.append(digest(b"\n".join(lines[a:z])))
+                        digests.append(digest(b"\n".join(lines[a:z]), digest_bytes))
                 which = pa.array(which, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(which), batch.column("h").take(which), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
@@ -115,7 +115,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 SEEN = "id long, h long, a int, z int, digest binary, first boolean, before array<binary>, after array<binary>, body binary"
 
 
-def looked_at(rows: DataFrame) -> DataFrame:
+def looked_at(rows: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """For the repeated chunks in ``spots`` of each text: what stands beside them, and rows with the bytes of all digests."""
 
     def run(batches):
@@ -129,7 +129,7 @@ def looked_at(rows: DataFrame) -> DataFrame:
 
                 def known(body: bytes) -> bytes:
                     nonlocal size
-                    key = digest(body)
+                    key = digest(body, digest_bytes)
                     if sent.get(key) != body:
                         out.append((None, None, None, None, key, None, None, None, body))
                         size += len(body) - len(sent.get(key, b""))
@@ -195,9 +195,9 @@ def beside_first(mine: str, first: str) -> Column:
     return out
 
 
-def cuts_of(rows: DataFrame) -> DataFrame:
+def cuts_of(rows: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """``id``, ``h`` and ``cuts`` of the documents (``id``, ``h``, ``text``) that lose lines."""
-    found = stage(occurrences(rows), "chunks")
+    found = stage(occurrences(rows, digest_bytes), "chunks")
     total = found.count()
     repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "a")).alias("first")).filter("n > 1")
     repeated = stage(repeated, "repeated")
@@ -206,7 +206,7 @@ def cuts_of(rows: DataFrame) -> DataFrame:
     # a document's own chunks; rows that are the same document give the same ones
     spots = stage(spots.groupBy("id", "h").agg(F.collect_set(F.struct("a", "z", "first")).alias("spots")), "spots")
     asked = marked(rows, spots, spots.count()).filter("_maybe").drop("_maybe").join(spots, ["id", "h"])
-    seen = stage(looked_at(asked), "seen")
+    seen = stage(looked_at(asked, digest_bytes), "seen")
     bodies = seen.filter("body is not null").select("digest", "body").distinct()
     differing = stage(bodies.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1"), "differing")
     beside = differing.isEmpty()
@@ -224,12 +224,12 @@ def cuts_of(rows: DataFrame) -> DataFrame:
     return cuts
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """The same rows and columns; ``text`` without the passages that an earlier document, or place, has."""
     ship(docs.sparkSession)
     names = docs.columns
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("h")]
-    cuts = cuts_of(docs.select(*key, "text").filter(F.col("text").isNotNull()))
+    cuts = cuts_of(docs.select(*key, "text").filter(F.col("text").isNotNull()), digest_bytes)
     # the columns under names that none of the table's clashes with; texts without a cut aren't dealt out
     packed = marked(docs.select(*key, "text", F.struct(*([F.col(f"`{c}`") for c in names if c != "text"] or [F.lit(0).alias("none")])).alias("row")), cuts, cuts.count())
     touched = packed.filter("_maybe").drop("_maybe").join(cuts, ["id", "h"], "left").select("text", "row", "cuts")

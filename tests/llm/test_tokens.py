@@ -113,3 +113,47 @@ def test_search_empties_bins():
     bins = packing.Bins(10)
     bins.count.update({(6,): 1, (5, 2): 1, (4, 3): 1})
     assert bins.search() > 0 and sum(bins.count.values()) == 2
+
+
+def test_search_ends_by_itself():
+    """Millions of lengths of which two or three fill a sequence: the search goes on until no step is left."""
+    r = np.random.default_rng(3)
+    lengths = Counter(r.integers(250, 421, 5_000_000).tolist())
+    bins = packing.plan(lengths)
+    held = Counter()
+    for x, n in bins.count.items():
+        assert n > 0 and sum(x) <= 1024
+        for size in x:
+            held[size] += n
+    assert held == lengths and bins.search() == 0
+    assert sum(bins.count.values()) < 1_700_000  # best fit alone takes 1.81 million
+
+
+def steps_left(bins):
+    """Whether any move or exchange of one for one, two for one or one for two gives the fuller bin more, by trying all."""
+    some = [x for x, n in bins.count.items() for _ in range(min(n, 2))]
+    parts = lambda x, n: [()] if n == 0 else [(y,) for y in x] if n == 1 else [(x[i], y) for i in range(len(x)) for y in x[i + 1 :]]
+    for i, a in enumerate(some):
+        for j, b in enumerate(some):
+            if i != j and sum(a) <= sum(b) < bins.capacity:
+                for give, get in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                    if any(0 < sum(g) - sum(h) <= bins.capacity - sum(b) for g in parts(a, give) for h in parts(b, get)):
+                        return True
+    return False
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), max_size=10))
+def test_no_step_is_left(lengths):
+    assert not steps_left(packing.plan(lengths, 40))
+
+
+def test_long_white_space_and_settled_characters(library):
+    tool = packing.encoder(BYTE)
+    for text in ("\n" * 1_000_000, " " * 1_000_000, "a " * 10 + "\n" * 200_000 + "b", " \t" * 100_000, "z" * 300_000):
+        assert np.frombuffer(tool.encode(text), "<u4").tolist() == library[BYTE].encode(text, add_special_tokens=False).ids
+    settled = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not packing.UNSETTLED.search(chr(c))]
+    assert len(settled) > 30_000
+    for k in range(0, len(settled), 500):
+        text = "".join(f"a{c}b 1{c}2 .{c}. {c}\n{c} x" for c in settled[k : k + 500])
+        assert tool.ids(text) == tool.by_library(text)
