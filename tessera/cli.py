@@ -7,14 +7,27 @@ import sys
 from collections.abc import Callable, Iterator
 
 
+def ends(text: str) -> bool:
+    """Whether a text has a semicolon outside of strings."""
+    quote = ""
+    for c in text:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == ";":
+            return True
+    return False
+
+
 def statements(lines: Iterator[str]) -> Iterator[str]:
-    """Statements of an input, which end with a line that has a semicolon; ``.quit`` ends it."""
+    """Statements of an input, which end with a line that has a semicolon outside of strings; ``.quit`` ends it."""
     text = ""
     for line in lines:
         if not text and line.strip() == ".quit":
             return
         text += line
-        if ";" in line:
+        if ends(text):
             yield text.strip()
             text = ""
 

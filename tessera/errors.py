@@ -71,7 +71,7 @@ class ExecutionError(SqlError):
 
 class NotNullViolation(ExecutionError):
     def __init__(self, column: str):
-        super().__init__(f'null value in column "{column}" violates its not-null constraint')
+        super().__init__(f'column "{column}" takes no NULL')
 
 
 class DuplicateKey(ExecutionError):

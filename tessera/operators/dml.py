@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import CatalogReadOnly, DuplicateName, NotNullViolation, ReservedName, UnsupportedError
-from tessera.operators.writing import check_new_keys, check_unique, write_files
+from tessera.operators.writing import check_new_files, check_new_keys, write_files
 from tessera.plans.analyzer import ROW_ID, assignable, insert_rows, output_columns, predicate
 from tessera.plans.ast import Delete, Expr, Insert, Update
 from tessera.plans.compiler import compiled, projected, spark_type
-from tessera.sources.catalog import MASTER, Catalog, DataFile, Store, Table, scan, stored_schema
+from tessera.sources.catalog import MASTER, Catalog, DataFile, Store, Table, pruned, scan, stored_schema
 
 #: Literal rows of a transaction that wait in memory, for one file instead of many.
 BUFFER_ROWS = 10_000
@@ -64,27 +64,27 @@ def flushed(store: Store, table: Table, rows: list[tuple]) -> Table:
     files = (*table.files, *write_files(store, table, local_rows(store, table, rows).coalesce(1)))
     small = [f for f in files if f.rows < SMALL_ROWS]
     if len(small) > SMALL_FILES:
-        merged = write_files(store, table, scan(store, replace(table, files=tuple(small))).coalesce(1))
+        merged = write_files(store, table, scan(store, replace(table, files=tuple(small))).coalesce(1), clustered(table))
         files = (*[f for f in files if f.rows >= SMALL_ROWS], *merged)
     return replace(table, files=files)
 
 
 def affected_files(store: Store, table: Table, where: Expr | None) -> tuple[tuple[DataFile, ...], int]:
-    """Files with rows that meet the condition, and how many rows those are. One aggregated row for each file comes back."""
-    if not table.files:
-        return (), 0
+    """Files with rows that meet the condition, and how many rows those are. Only files whose ranges allow it are read; one aggregated row for each comes back."""
+    table = pruned(table, where)
+    if not table.files or where is None:
+        return table.files, sum(f.rows for f in table.files)
     df = scan(store, table)
     # the name before the filter: it belongs to the scan
     df = df.withColumn("_file", F.input_file_name())
-    if where is not None:
-        df = df.filter(compiled(where, table.scope))
+    df = df.filter(compiled(where, table.scope))
     hits = {"/".join(r["_file"].split("/")[-3:]): r["n"] for r in df.groupBy("_file").agg(F.count("*").alias("n")).collect()}
     return tuple(f for f in table.files if f.path in hits), sum(hits.values())
 
 
 def clustered(table: Table) -> list[int]:
-    """Columns to sort a rewrite by: the first index's."""
-    return [table.scope.find(i.column)[0] for i in table.indexes[:1]]
+    """Columns to sort a rewrite by: the newest index's, by which its creation has laid the files out."""
+    return [table.scope.find(i.column)[0] for i in table.indexes[-1:]]
 
 
 def update(store: Store, catalog: Catalog, s: Update) -> Effect:
@@ -112,7 +112,8 @@ def update(store: Store, catalog: Catalog, s: Update) -> Effect:
     for k in new:
         if not table.columns[k].nullable and scan(store, replace(table, files=written)).filter(F.col(f"c{k}").isNull()).first() is not None:
             raise NotNullViolation(table.columns[k].name)
-    check_unique(table, scan(store, after), [k for k in table.key_columns if k in new])
+    if any(k in new for k in table.key_columns):
+        check_new_files(store, replace(after, files=tuple(f for f in after.files if f not in written)), written)
     rows = None
     if returned:
         image = old.filter(hit).select(*[value(k).alias(f"c{k}") if k in new else F.col(f"c{k}") for k in range(len(table.columns))])
@@ -140,7 +141,7 @@ def delete(store: Store, catalog: Catalog, s: Delete) -> Effect:
 
 def append(store: Store, table: Table, df: DataFrame) -> Effect:
     """Bulk insert of a DataFrame with the table's columns, by name; types must be those of the table once integers are widened."""
-    from tessera.errors import ColumnNotFound, DuplicateKey, TypeMismatch
+    from tessera.errors import ColumnNotFound, TypeMismatch
     from tessera.sources.parquet import WIDENED
 
     by_name = {f.name: f for f in df.schema.fields}
@@ -148,7 +149,7 @@ def append(store: Store, table: Table, df: DataFrame) -> Effect:
         if c.name not in by_name:
             raise ColumnNotFound(c.name)
         if WIDENED.get(type(by_name[c.name].dataType)) != c.type:
-            raise TypeMismatch(f"expected type {c.type} for column {c.name}, but found {by_name[c.name].dataType.simpleString()}")
+            raise TypeMismatch(f"column {c.name} takes {c.type}, not {by_name[c.name].dataType.simpleString()}")
     rows = df.select(*[F.col(f"`{c.name}`").cast(spark_type(c.type)).alias(f"c{k}") for k, c in enumerate(table.columns)])
     files = write_files(store, table, rows, clustered(table))
     new = scan(store, replace(table, files=files))
@@ -158,10 +159,5 @@ def append(store: Store, table: Table, df: DataFrame) -> Effect:
         for k in gaps:
             if missing[f"c{k}"]:
                 raise NotNullViolation(table.columns[k].name)
-    check_unique(table, new, table.key_columns)
-    if table.files:
-        for k in table.key_columns:
-            hit = new.filter(F.col(f"c{k}").isNotNull()).join(scan(store, table).select(f"c{k}"), f"c{k}", "left_semi").select(f"c{k}").first()
-            if hit is not None:
-                raise DuplicateKey(table.columns[k].name, hit[0])
+    check_new_files(store, table, files)
     return Effect(replace(table, files=(*table.files, *files)), sum(f.rows for f in files))

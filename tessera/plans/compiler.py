@@ -50,7 +50,7 @@ def compiled(e: Expr, scope: Scope) -> SparkColumn:
                 return semantics.arithmetic(op, x, y)
             x_null, y_null = typed(a, scope)[1], typed(b, scope)[1]
             return (semantics.compare if op in COMPARISONS else semantics.logic)(op, x, y, x_null, y_null)
-    raise AnalysisError(f"unexpected expression: {display(e)}")
+    raise AnalysisError(f"{display(e)} has no value here")
 
 
 def projected(df: DataFrame, outputs: list[tuple[str, Expr]], scope: Scope) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.errors import SqlError
 from tessera.session import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -111,6 +112,54 @@ _PERM = ("CREATE TABLE perm4 (a INT, b INT, c INT, d INT)", "INSERT INTO perm4 (
 _USERS = ("CREATE TABLE users (id INT PRIMARY KEY, name TEXT, email TEXT, age INT)", "INSERT INTO users (id, name, email, age) VALUES (1, 'Alice', 'alice@example.com', 30), (2, 'Bob', NULL, 25), (3, 'Carol', 'carol@example.com', 28), (4, 'Dave', NULL, 22)")
 _BIG = "CAST({} AS BIGINT)"
 
+# Rows with keys far from the others', a file each.
+_SPREAD = tuple(f"INSERT INTO c VALUES ({100000 + k}, 'g{k}', {k}, 'S')" for k in range(10))
+
+
+def outcome(*statements: str, last: str, then: str, load: dict[str, tuple[str, str]] | None = None) -> Query:
+    """One row: the error that a statement ends with or how many rows it affects, and how many rows a query finds after that."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = opened(spark, sf_dir)
+        for name, (definition, file) in (load or {}).items():
+            engine.sql(f"CREATE TABLE {name} ({definition})")
+            engine.append(name, spark.read.parquet(f"{sf_dir}/{file}.parquet"))
+        for s in statements:
+            engine.sql(s)
+        try:
+            result = engine.sql(last)
+            told = str(result.rows_affected) if result.df is None else f"{len(result.rows())} rows"
+        except SqlError as e:
+            told = type(e).__name__
+        return spark.createDataFrame([(told, engine.sql(then).df.count())], "outcome string, n long")
+
+    return run
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What another engine on the same folder finds: commits, and nothing of a transaction that has not ended or of a draft."""
+    engine = opened(spark, sf_dir)
+    for s in _USERS:
+        engine.sql(s)
+    for s in ("DELETE FROM users WHERE id = 2", "BEGIN TRANSACTION", "DELETE FROM users"):
+        engine.sql(s)
+    spark.createDataFrame([("{",)], "value string").coalesce(1).write.text(engine.store.full("manifest/.draft-9"))
+    return Engine(spark, engine.store.root).sql("SELECT id, name FROM users").df
+
+
+def pushed_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What EXPLAIN says of the flagship's scan: whether its filters reach the files, and whether only its columns are read."""
+    plan = "\n".join(r[0] for r in opened(spark, sf_dir, "orders").sql(f"EXPLAIN {FLAGSHIP};").rows())
+    filters = next((x for x in plan.splitlines() if x.startswith("PushedFilters")), "")
+    schema = next((x for x in plan.splitlines() if x.startswith("ReadSchema")), "")
+    facts = ("EqualTo(o_orderstatus,O)" in filters, "LessThan(o_custkey,50)" in filters, "o_totalprice" in schema)
+    return spark.createDataFrame([facts], "status boolean, custkey boolean, more_columns boolean")
+
+
+def _found(told: str, n: str) -> str:
+    return f"SELECT '{told}' AS outcome, CAST(({n}) AS BIGINT) AS n"
+
+
 WRITES: dict[str, tuple[Query, str]] = {
     "null_eq": (_nulls("SELECT id, a = b AS e, a != b AS n, t = 'a' AS x FROM nulls"), _NULL_CTE + "SELECT id, a IS NOT DISTINCT FROM b AS e, a IS DISTINCT FROM b AS n, t IS NOT DISTINCT FROM 'a' AS x FROM nulls"),
     "null_lt": (
@@ -121,6 +170,9 @@ WRITES: dict[str, tuple[Query, str]] = {
     "null_bool_filter": (_nulls("SELECT id FROM nulls WHERE f"), _NULL_CTE + "SELECT id FROM nulls WHERE f"),
     "null_not": (_nulls("SELECT id, NOT f AS g FROM nulls WHERE f IS NOT NULL"), _NULL_CTE + "SELECT id, NOT f AS g FROM nulls WHERE f IS NOT NULL"),
     "null_sort": (_nulls("SELECT a, t, f, id FROM nulls ORDER BY a DESC, t, f, id LIMIT 25"), _NULL_CTE + "SELECT a, t, f, id FROM nulls ORDER BY a DESC NULLS LAST, t NULLS FIRST, f NULLS FIRST, id LIMIT 25"),
+    "null_is_null": (_nulls("SELECT id FROM nulls WHERE a IS NULL AND t IS NOT NULL"), _NULL_CTE + "SELECT id FROM nulls WHERE a IS NULL AND t IS NOT NULL"),
+    "null_or_is_null": (_nulls("SELECT id, b IS NULL AS g FROM nulls WHERE NOT f IS NULL OR a = 7"), _NULL_CTE + "SELECT id, b IS NULL AS g FROM nulls WHERE f IS NOT NULL OR a IS NOT DISTINCT FROM 7"),
+    "null_operand_of_and": (outcome(_NULLS, f"INSERT INTO nulls VALUES {', '.join(_NULL_ROWS)}", last="SELECT id FROM nulls WHERE f AND a = 7", then="SELECT * FROM nulls"), _found("ExecutionError", str(len(_NULL_ROWS)))),
     "null_arith": (_nulls("SELECT id, a + b AS s, a * 0 AS z, -a AS m, a / 2 AS q, a % 2 AS r FROM nulls"), _NULL_CTE + "SELECT id, a + b AS s, a * 0 AS z, -a AS m, a // 2 AS q, a % 2 AS r FROM nulls"),
     "insert_multi": (script(*_USERS, last="SELECT * FROM users"), "SELECT CAST(i AS BIGINT) AS id, name, email, CAST(a AS BIGINT) AS age FROM (VALUES (1, 'Alice', 'alice@example.com', 30), (2, 'Bob', NULL, 25), (3, 'Carol', 'carol@example.com', 28), (4, 'Dave', NULL, 22)) v(i, name, email, a)"),
     "insert_reordered_columns": (script(*_PERM, last="SELECT * FROM perm4"), "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d FROM (VALUES (1, 2, 3, 4), (10, 20, 30, 40)) v(a, b, c, d)"),
@@ -140,11 +192,30 @@ WRITES: dict[str, tuple[Query, str]] = {
     "delete_where": (script("DELETE FROM c WHERE c_mktsegment = 'BUILDING' OR c_custkey < 100", load=_CUSTOMER, last="SELECT * FROM c"), f"SELECT * FROM ({_C}) WHERE NOT (c_mktsegment = 'BUILDING' OR c_custkey < 100)"),
     "delete_all_then_insert": (script("DELETE FROM c", "INSERT INTO c VALUES (1, 'one', 2, 'S')", load=_CUSTOMER, last="SELECT * FROM c"), f"SELECT {_BIG.format(1)} AS c_custkey, 'one' AS c_name, {_BIG.format(2)} AS c_nationkey, 'S' AS c_mktsegment"),
     "delete_returning": (script(load=_CUSTOMER, last="DELETE FROM c WHERE c_custkey <= 50 RETURNING *"), f"SELECT * FROM ({_C}) WHERE c_custkey <= 50"),
-    "index_eq": (script("CREATE UNIQUE INDEX ix ON c (c_name)", load=_CUSTOMER, last="SELECT c_custkey, c_name FROM c WHERE c_custkey = 77"), f"SELECT c_custkey, c_name FROM ({_C}) WHERE c_custkey = 77"),
+    "index_eq": (script("CREATE UNIQUE INDEX ix ON c (c_name)", load=_CUSTOMER, last="SELECT c_custkey, c_name FROM c WHERE c_name = 'Customer#000000077'"), f"SELECT c_custkey, c_name FROM ({_C}) WHERE c_name = 'Customer#000000077'"),
+    "index_eq_reversed": (script("CREATE INDEX ix ON c (c_nationkey)", load=_CUSTOMER, last="SELECT c_custkey FROM c WHERE 7 = c_nationkey AND c_custkey > 10"), f"SELECT c_custkey FROM ({_C}) WHERE 7 = c_nationkey AND c_custkey > 10"),
+    "point_lookup": (script(*_SPREAD, load=_CUSTOMER, last="SELECT * FROM c WHERE c_custkey = 100007"), f"SELECT {_BIG.format(100007)} AS c_custkey, 'g7' AS c_name, {_BIG.format(7)} AS c_nationkey, 'S' AS c_mktsegment"),
+    "range_update": (
+        script(*_SPREAD, "UPDATE c SET c_nationkey = 99 WHERE c_custkey >= 100005", load=_CUSTOMER, last="SELECT c_custkey, c_nationkey FROM c WHERE c_custkey > 1490"),
+        f"SELECT c_custkey, c_nationkey FROM ({_C}) WHERE c_custkey > 1490 UNION ALL SELECT 100000 + i, CASE WHEN i >= 5 THEN 99 ELSE i END FROM range(10) r(i)",
+    ),
+    "range_delete": (script(*_SPREAD, "DELETE FROM c WHERE c_custkey > 1000 AND NOT c_custkey >= 100003", load=_CUSTOMER, last="SELECT c_custkey FROM c"), f"SELECT c_custkey FROM ({_C}) WHERE c_custkey <= 1000 UNION ALL SELECT 100003 + i FROM range(7) r(i)"),
     "index_range": (script("CREATE INDEX ix ON c (c_nationkey)", load=_CUSTOMER, last="SELECT c_custkey, c_nationkey FROM c WHERE 5 < c_nationkey AND c_nationkey <= 9"), f"SELECT c_custkey, c_nationkey FROM ({_C}) WHERE 5 < c_nationkey AND c_nationkey <= 9"),
     "tx_commit": (script(*_USERS, "BEGIN TRANSACTION", "UPDATE users SET age = age + 1 WHERE id <= 2", "DELETE FROM users WHERE id = 4", "COMMIT", last="SELECT id, age FROM users"), "SELECT CAST(i AS BIGINT) AS id, CAST(a AS BIGINT) AS age FROM (VALUES (1, 31), (2, 26), (3, 28)) v(i, a)"),
     "tx_rollback": (script(*_USERS, "BEGIN TRANSACTION", "DELETE FROM users", "INSERT INTO users VALUES (9, 'n', NULL, 1)", "ROLLBACK", last="SELECT id, age FROM users"), "SELECT CAST(i AS BIGINT) AS id, CAST(a AS BIGINT) AS age FROM (VALUES (1, 30), (2, 25), (3, 28), (4, 22)) v(i, a)"),
     "tx_reads_own_writes": (script(*_USERS, "BEGIN TRANSACTION", "INSERT INTO users VALUES (5, 'Eve', NULL, 40)", last="SELECT id FROM users WHERE age >= 28"), "SELECT CAST(i AS BIGINT) AS id FROM (VALUES (1), (3), (5)) v(i)"),
+    "delete_count": (outcome(load=_CUSTOMER, last="DELETE FROM c WHERE c_custkey <= 40", then="SELECT * FROM c"), _found("40", "SELECT count(*) - 40 FROM customer")),
+    "update_count": (outcome(load=_CUSTOMER, last="UPDATE c SET c_name = 'x' WHERE c_custkey <= 40", then="SELECT * FROM c WHERE c_name = 'x'"), _found("40", "40")),
+    "insert_duplicate_key": (outcome(load=_CUSTOMER, last="INSERT INTO c VALUES (0, 'new', 1, 'S'), (77, 'old', 1, 'S')", then="SELECT * FROM c"), _found("DuplicateKey", "SELECT count(*) FROM customer")),
+    "insert_repeats_itself": (outcome(*_USERS, last="INSERT INTO users VALUES (7, 'a', NULL, 1), (7, 'b', NULL, 1)", then="SELECT * FROM users"), _found("DuplicateKey", "4")),
+    "update_to_a_key_in_use": (outcome(load=_CUSTOMER, last="UPDATE c SET c_custkey = 78 WHERE c_custkey = 77", then="SELECT * FROM c WHERE c_custkey = 77"), _found("DuplicateKey", "1")),
+    "update_to_null": (outcome(load=_NATION, last="UPDATE n SET n_name = NULL", then="SELECT * FROM n WHERE n_name IS NOT NULL"), _found("NotNullViolation", "SELECT count(*) FROM nation")),
+    "division_by_zero": (outcome(load=_NATION, last="UPDATE n SET n_regionkey = 10 / n_regionkey", then="SELECT * FROM n WHERE n_regionkey = 0"), _found("ExecutionError", "SELECT count(*) FROM nation WHERE n_regionkey = 0")),
+    "catalog_read_only": (outcome(*_USERS, last="DELETE FROM engine_master", then="SELECT * FROM engine_master"), _found("CatalogReadOnly", "1")),
+    "type_mismatch": (outcome(*_USERS, last="SELECT id FROM users WHERE name = 1", then="SELECT * FROM users"), _found("TypeMismatch", "4")),
+    "parse_error": (outcome(*_USERS, last="FETCH users", then="SELECT * FROM users"), _found("ParseError", "4")),
+    "reopened": (reopened, "SELECT CAST(i AS BIGINT) AS id, name FROM (VALUES (1, 'Alice'), (3, 'Carol'), (4, 'Dave')) v(i, name)"),
+    "explain_pushdown": (pushed_down, "SELECT TRUE AS status, TRUE AS custkey, FALSE AS more_columns"),
     "drop_table": (script(*_USERS, "CREATE TABLE gone (id INT)", "DROP TABLE gone", last="SELECT name FROM engine_master"), "SELECT 'users' AS name"),
     "master_catalog": (
         script(*_USERS, "CREATE UNIQUE INDEX age_ix ON users (age)", last="SELECT type, name, table_name, sql FROM engine_master"),

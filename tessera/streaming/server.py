@@ -15,6 +15,8 @@ class _Connection(socketserver.StreamRequestHandler):
         try:
             while (got := p.read_frame(self.rfile)) is not None and got[0] != p.CLOSE:
                 self._answer(session, *got)
+        except ValueError as e:  # no frame: what follows can't be told apart, so the answer is the last one
+            self.wfile.write(p.frame(p.ERROR, str(e).encode()) + p.frame(p.END))
         finally:  # a lost connection rolls its transaction back
             session.close()
 
@@ -30,8 +32,10 @@ class _Connection(socketserver.StreamRequestHandler):
                 send(p.frame(p.SCHEMA, p.schema([(f.name, f.dataType.simpleString()) for f in result.df.schema.fields])))
                 for values in result:
                     send(p.frame(p.ROW, p.row(values)))
-        except (SqlError, UnicodeDecodeError) as e:
-            send(p.frame(p.ERROR, str(e).encode()))
+        except OSError:  # the client is gone
+            raise
+        except Exception as e:  # whatever fails is an answer; the connection goes on
+            send(p.frame(p.ERROR, (str(e) or type(e).__name__).encode()))
         send(p.frame(p.END))
 
 

@@ -203,3 +203,156 @@ def test_random_statements_against_a_dict(spark, tmp_path):
                     state = saved
                 saved = None
         assert dict(rows(e, "SELECT * FROM m")) == state
+
+
+def read_files(e, name, where):
+    from tessera.plans.analyzer import predicate
+    from tessera.plans.parser import parse
+    from tessera.sources.catalog import pruned
+
+    table = e.catalog.table(name)
+    return len(pruned(table, predicate(parse(f"SELECT * FROM {name} WHERE {where}").where, table.scope)).files)
+
+
+def test_files_are_left_out_by_their_ranges(spark, tmp_path):
+    """Only files that can hold a row are read, whichever way a condition is put; NULL is the lowest value."""
+    e = Engine(spark, f"file://{tmp_path}/db")
+    e.sql("CREATE TABLE t (id INT PRIMARY KEY, a INT, s TEXT)")
+    for k in range(8):
+        e.append("t", spark.range(100 * k, 100 * k + 100).selectExpr("id", f"IF(id % 100 = 5 AND {k} = 3, NULL, {k}) AS a", f"'s{k}' AS s").coalesce(1))
+    assert len(e.catalog.table("t").files) == 8
+    for where, n in (
+        ("id = 250", 1), ("250 = id", 1), ("id < 100", 1), ("id <= 100", 2), ("id > 650 OR id = 3", 3), ("NOT id < 700", 1), ("NOT (id < 700 AND id >= 100)", 2),
+        ("id > 150 AND id < 250 AND a = 1", 2), ("id = -5", 0), ("id IS NULL", 0), ("id IS NOT NULL", 8), ("id + 0 = 250", 8), ("(id) = (250)", 1), ("id != 250", 8), ("id = a", 8), ("5 >= id", 1),
+    ):
+        assert read_files(e, "t", where) == n, where
+    assert len(e.sql("SELECT id FROM t WHERE id = 250").df.inputFiles()) == 1
+    e.sql("CREATE INDEX ix ON t (a)")
+    e.sql("CREATE INDEX iy ON t (s)")
+    assert sum(f.rows for f in e.catalog.table("t").files) == 800
+    for where in ("a = 3", "a IS NULL", "a < 0", "NOT a IS NULL", "s >= 's7'", "a != 3", "a <= 2 OR s = 's4'"):
+        some = {tuple(r) for r in e.sql(f"SELECT id, a FROM t WHERE {where}").rows()}
+        every = {(r.id, r.a) for r in e.sql("SELECT * FROM t").rows() if eval(CHECKS[where])(r)}  # noqa: S307
+        assert some == every and read_files(e, "t", where) <= len(e.catalog.table("t").files)
+    # changes read and rewrite no other files either
+    before = e.catalog.table("t").files
+    e.append("t", spark.createDataFrame([(5000, 1, "z")], "id long, a long, s string"))
+    assert e.sql("UPDATE t SET a = 77 WHERE id = 5000").rows_affected == 1
+    assert {f.path for f in before} < {f.path for f in e.catalog.table("t").files}
+    assert e.sql("DELETE FROM t WHERE id >= 5000").rows_affected == 1 and set(f.path for f in e.catalog.table("t").files) == {f.path for f in before}
+
+
+CHECKS = {
+    "a = 3": "lambda r: r.a == 3", "a IS NULL": "lambda r: r.a is None", "a < 0": "lambda r: r.a is None", "NOT a IS NULL": "lambda r: r.a is not None",
+    "s >= 's7'": "lambda r: r.s >= 's7'", "a != 3": "lambda r: r.a != 3", "a <= 2 OR s = 's4'": "lambda r: r.a is None or r.a <= 2 or r.s == 's4'",
+}
+
+
+def test_pruning_agrees_with_evaluation():
+    """For random conditions and ranges, no file with a row that meets the condition is left out."""
+    from tessera.plans.analyzer import Column, Scope, apply
+    from tessera.plans.ast import Binary, IsNull, Literal, Name, Nested, Unary
+    from tessera.plans.pruning import may_hold
+
+    r = random.Random(4)
+    scope = Scope([Column("x", "INT"), Column("y", "INT")])
+
+    def condition(depth):
+        if depth == 0 or r.random() < 0.3:
+            if r.random() < 0.2:
+                return IsNull(Name(r.choice("xy")), r.random() < 0.5)
+            sides = [Name(r.choice("xy")), r.choice([Literal(r.randint(-3, 3)), Unary("-", Literal(r.randint(0, 3))), Name("y")])]
+            r.shuffle(sides)
+            return Binary(sides[0], r.choice(["=", "!=", "<", "<=", ">", ">="]), sides[1])
+        if r.random() < 0.3:
+            return Unary("NOT", Nested(condition(depth - 1)))
+        return Binary(condition(depth - 1), r.choice(["AND", "OR"]), condition(depth - 1))
+
+    def value(e, row):
+        match e:
+            case Literal(v):
+                return v
+            case Name(n):
+                return row["xy".index(n)]
+            case Nested(of):
+                return value(of, row)
+            case IsNull(of, negated):
+                return (value(of, row) is None) != negated
+            case Unary("NOT", of):
+                return not value(of, row)
+            case Unary(_, of):
+                return -value(of, row)
+            case Binary(a, op, b):
+                return apply(op, value(a, row), value(b, row))
+
+    left_out = 0
+    for _ in range(3000):
+        rows = [tuple(r.choice([None, -3, -2, -1, 0, 1, 2, 3]) if r.random() < 0.3 else r.choice([1, 2]) for _ in range(2)) for _ in range(r.randint(1, 4))]
+        ordered = [sorted((row[k] for row in rows), key=lambda v: (v is not None, v or 0)) for k in range(2)]
+        e = condition(3)
+        holds = may_hold(e, scope, lambda k: (ordered[k][0], ordered[k][-1]) if r.random() < 0.9 else None)
+        assert holds or not any(value(e, row) for row in rows)
+        left_out += not holds
+    assert left_out > 300
+
+
+def test_registration_is_a_transaction(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/numbers")
+    e = Engine(spark, f"file://{tmp_path}/db")
+    e.sql("BEGIN TRANSACTION")
+    e.sql("CREATE TABLE t (id INT)")
+    e.register_parquet("a", f"{tmp_path}/numbers")
+    assert len(rows(e, "SELECT * FROM a")) == 5
+    e.sql("COMMIT")
+    tx = e.begin()
+    e.register_parquet("b", f"{tmp_path}/numbers")
+    with pytest.raises(errors.TransactionError):  # it began before the registration
+        tx.sql("INSERT INTO t VALUES (1)")
+    e.sql("BEGIN TRANSACTION")
+    e.register_parquet("c", f"{tmp_path}/numbers")
+    e.sql("ROLLBACK")
+    with pytest.raises(errors.TableExists):
+        e.register_parquet("b", f"{tmp_path}/numbers")
+    again = Engine(spark, f"file://{tmp_path}/db")
+    assert {r[0] for r in rows(again, "SELECT name FROM engine_master")} == {"t", "a", "b"} and len(rows(again, "SELECT * FROM b")) == 5
+
+
+def test_two_engines_on_one_folder(spark, tmp_path):
+    one, two = (Engine(spark, f"file://{tmp_path}/db") for _ in range(2))
+    one.sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    assert two.sql("INSERT INTO t VALUES (1)").rows_affected == 1  # a statement sees what has been published
+    assert rows(one, "SELECT id FROM t") == [(1,)]
+    a, b = one.begin(), two.begin()
+    a.sql("INSERT INTO t VALUES (2)")
+    b.sql("INSERT INTO t VALUES (3)")  # both write; each engine has a lock of its own
+    a.commit()
+    with pytest.raises(errors.TransactionError):
+        b.commit()
+    c = two.begin()
+    one.sql("INSERT INTO t VALUES (4)")
+    with pytest.raises(errors.TransactionError):  # told before any work
+        c.sql("INSERT INTO t VALUES (5)")
+    assert sorted(rows(two, "SELECT id FROM t")) == [(1,), (2,), (4,)]
+
+
+def test_object_stores_are_refused(spark, monkeypatch):
+    from tessera.sources import catalog
+
+    monkeypatch.setattr(catalog, "COPYING", ("file",))
+    with pytest.raises(errors.SqlError, match="atomic"):
+        Engine(spark, "file:///tmp/none")
+
+
+def test_deep_and_long_expressions(engine):
+    for text in ("SELECT " + "(" * 1000 + "id" + ")" * 1000 + " FROM users", "SELECT " + "NOT " * 1000 + "TRUE FROM users", "SELECT id" + " + 1" * 5000 + " FROM users"):
+        with pytest.raises(errors.ParseError):
+            engine.sql(text)
+    assert rows(engine, "SELECT id" + " + 1" * 100 + " AS v FROM users WHERE id = 1") == [(101,)]
+
+
+def test_the_newest_index_decides_the_order_of_files(engine):
+    from tessera.operators.dml import clustered
+
+    engine.sql("CREATE INDEX i1 ON users (name)")
+    engine.sql("CREATE INDEX i2 ON users (age)")
+    assert clustered(engine.catalog.table("users")) == [2]

@@ -31,6 +31,9 @@ def test_server_and_client(spark, tmp_path):
             assert table.columns == [("id", "bigint"), ("v", "string")] and table.rows == [[1, "x"], [2, None]]
             with pytest.raises(ServerError):
                 c.query("SELECT nothing FROM t")
+            for text in ("SELECT " + "(" * 1000 + "id" + ")" * 1000 + " FROM t", "SELECT id" + " + 1" * 5000 + " FROM t", "SELECT 1 / 0 AS v FROM t"):
+                with pytest.raises(ServerError):
+                    c.query(text)
             c.query("BEGIN TRANSACTION")
             c.query("DELETE FROM t")
         with Connection(port=server.server_address[1]) as c:  # the lost transaction was rolled back
@@ -38,7 +41,21 @@ def test_server_and_client(spark, tmp_path):
         server.shutdown()
 
 
+def test_what_is_no_frame_is_answered(spark, tmp_path):
+    import socket
+
+    with Server(Engine(spark, f"file://{tmp_path}/db"), port=0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        with socket.create_connection(("127.0.0.1", server.server_address[1]), 10) as s:
+            s.sendall(b"\xff" * 20)
+            s.shutdown(socket.SHUT_WR)
+            with s.makefile("rb") as stream:
+                assert p.read_frame(stream)[0] == p.ERROR and p.read_frame(stream) == (p.END, b"") and p.read_frame(stream) is None
+        server.shutdown()
+
+
 def test_prompt():
+    assert list(statements(iter(["INSERT INTO t VALUES ('a;\n", "b', \"c;'\n", "\");\n", "SELECT b;\n"]))) == ["INSERT INTO t VALUES ('a;\nb', \"c;'\n\");", "SELECT b;"]
     assert list(statements(iter(["SELECT a\n", "FROM t;\n", ".quit\n", "SELECT b;\n"]))) == ["SELECT a\nFROM t;"]
     out = io.StringIO()
     repl(lambda s: str(1 // (s != "bad;")), iter(["bad;\n", "good;\n"]), out)
