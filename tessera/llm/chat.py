@@ -11,9 +11,10 @@ text empty, a null turn comes first; an empty table gives an empty result; other
 ignored. A rendering is cut into parts of ``PART_TURNS`` turns, so that no row grows with the
 length of a conversation; joined in the order of ``part`` they are the whole.
 
-No row collects a conversation: prefixes are a running window, whose sort has a conversation's turns in one task and spills
-to disk, copies are counted with partial sums before they are dealt out, and a part has a bounded number of turns. Prefixes
-are equal where both sums, the number of turns among what is summed, agree; with 128 bits, texts aren't compared again.
+No task sees a conversation's texts: turns are numbered, and hashes summed up, in blocks of ``2 ** BLOCK_BITS`` values of ``turn``,
+and only one row for each block is put in order for the whole conversation. Copies are counted with
+partial sums before they are dealt out, and a part has a bounded number of turns. Prefixes
+are equal where both sums and the number of turns agree; with 128 bits, texts aren't compared again.
 """
 
 from __future__ import annotations
@@ -24,20 +25,38 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage
 
 PART_TURNS = 64
+BLOCK_BITS = 10
+BLOCK = ["conv_id", "block"]
 
 
-def turn_prefixes(conversations: DataFrame) -> DataFrame:
-    """``conv_id``, ``idx`` from 1, ``role``, ``text``, prefix hashes ``p1`` and ``p2``, and whether the turn is the last."""
+def before(blocks: DataFrame, *sums: str) -> DataFrame:
+    """For one row a block: what the blocks before it have of each sum, under the same names."""
+    upto = Window.partitionBy("conv_id").orderBy("block")
+    return blocks.select(*BLOCK, *[(F.sum(c).over(upto) - F.col(c)).alias(c) for c in sums])
+
+
+def numbered_turns(conversations: DataFrame) -> DataFrame:
+    """``conv_id``, ``block``, ``idx`` from 1, ``role`` and ``text`` of each turn."""
     turns = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).filter(F.col("conv_id").isNotNull())
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.lag(F.struct("turn", "role", "text")).over(order)
-    turns = turns.withColumn("_again", F.coalesce(before.eqNullSafe(F.struct("turn", "role", "text")), F.lit(False))).filter(~F.col("_again")).drop("_again")
-    numbered = turns.withColumn("idx", F.row_number().over(order).cast("long")).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "idx", "role", "text").cast("decimal(20,0)")).over(upto)
-    return numbered.select("conv_id", "idx", "role", "text", "last", total(1).alias("p1"), total(2).alias("p2"))
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).filter(F.col("conv_id").isNotNull()).distinct()
+    turns = turns.withColumn("block", F.coalesce(F.shiftright("turn", BLOCK_BITS), F.lit(-(1 << 62))))
+    place = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("turn", "role", "text")).cast("long")
+    local = stage(turns.select(*BLOCK, place.alias("place"), "role", "text"), "turns")
+    ahead = before(local.groupBy(*BLOCK).agg(F.count("*").alias("n")), "n")
+    return local.join(ahead, BLOCK).select(*BLOCK, (F.col("place") + F.col("n")).alias("idx"), "role", "text")
+
+
+def turn_prefixes(turns: DataFrame) -> DataFrame:
+    """``conv_id``, ``idx``, prefix hashes ``p1`` and ``p2``, and whether the turn is the last."""
+    mix = lambda seed: F.xxhash64(F.lit(seed), "idx", "role", "text").cast("decimal(20,0)")
+    rows = stage(turns.select(*BLOCK, "idx", mix(1).alias("h1"), mix(2).alias("h2")), "hashes")
+    ahead = before(rows.groupBy(*BLOCK).agg(F.sum("h1").alias("b1"), F.sum("h2").alias("b2")), "b1", "b2")
+    sizes = rows.groupBy("conv_id").agg(F.max("idx").alias("n"))
+    upto = Window.partitionBy(*BLOCK).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.select(*BLOCK, "idx", F.sum("h1").over(upto).alias("w1"), F.sum("h2").over(upto).alias("w2"))
+    total = lambda k: (F.col(f"w{k}") + F.col(f"b{k}")).cast("decimal(38,0)").alias(f"p{k}")
+    return within.join(ahead, BLOCK).join(sizes, "conv_id").select("conv_id", "idx", (F.col("idx") == F.col("n")).alias("last"), total(1), total(2))
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
@@ -50,8 +69,8 @@ def maximal_conversations(prefixes: DataFrame) -> DataFrame:
 
 def rendered_conversations(conversations: DataFrame) -> DataFrame:
     """The maximal conversations in ChatML, one row for each part."""
-    turns = stage(turn_prefixes(conversations), "prefixes")
-    kept = maximal_conversations(turns.drop("role", "text"))
+    turns = numbered_turns(conversations)
+    kept = maximal_conversations(stage(turn_prefixes(turns), "prefixes"))
     line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     parts = (
         turns.select("conv_id", "idx", line.alias("line"))

@@ -37,3 +37,23 @@ def test_ties_repeats_and_nulls(spark):
         2: (2, "<|im_start|>system\nfirst<|im_end|>\n<|im_start|>user\nthen<|im_end|>\n"),
     }
     assert chat.rendered_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_conversations_of_many_blocks(spark):
+    """More turns than a block has, in any order of rows; snapshots that end within and at the end of blocks; another numbering of the same turns."""
+    import random
+
+    n, size = 2600, 1 << chat.BLOCK_BITS
+    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(n)]
+    rows = [(1, k, *t) for k, t in enumerate(turns)] + [(9, None, "system", "s"), *[(9, k - 1500, *t) for k, t in enumerate(turns)]]
+    for c, end in ((2, size), (3, size + 1), (4, 2 * size - 1), (5, n)):
+        rows += [(c, 7 * k - 5000, *t) for k, t in enumerate(turns[:end])]
+    rows += [(6, k, *(t if k != 1500 else ("user", "else"))) for k, t in enumerate(turns[:1700])]
+    random.Random(1).shuffle(rows)
+    got = {}
+    for r in sorted(chat.rendered_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: (r.conv_id, r.part)):
+        k, copies, text = got.get(r.conv_id, (r.n_turns, r.n_copies, ""))
+        got[r.conv_id] = (k, copies, text + r.rendered)
+    line = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in ts)
+    other = [t if k != 1500 else ("user", "else") for k, t in enumerate(turns[:1700])]
+    assert got == {1: (n, 2, line(turns)), 6: (1700, 1, line(other)), 9: (n + 1, 1, line([("system", "s"), *turns]))}
