@@ -21,8 +21,8 @@ too little for that: it stays where at least half of its letters are in one lang
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is any
 text where nothing was learned; letters that no sample has are phrases of their own; ties go
-to the smaller label; repeated rows give repeated results; a row with a null ``doc_id`` is a text like any other, held out as
-the empty id is, so it is never learned from; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored, by
+to the smaller label; repeated rows give repeated results; a row with a null ``doc_id`` is a text like any other, and not
+held out, as an empty id wouldn't be; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored, by
 ``in_known_language`` passed through.
 """
 
@@ -46,8 +46,8 @@ SHARPNESS = 6.0
 MARGIN = 0.25
 #: Letters and spaces from which on the mean can be judged.
 ENOUGH = 128
-#: Symbols of a segment, and bytes of text in a step.
-SEGMENT, STEP = 1024, 4 << 20
+#: Symbols of a segment, and bytes of text in a step; parts in which a language's texts are ranked at first.
+SEGMENT, STEP, PARTS = 1024, 4 << 20, 64
 SPACE, PAD, SYMBOL_BITS = 0x20, 0x1FFFFF, 21
 _EMPTY, _ODD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,8 +69,11 @@ def learn(labelled: DataFrame) -> tuple[Sample, ...]:
     rows = rows.select("lang", "text", F.xxhash64("text").alias("mix"), F.length("text").alias("size"))
     # short enough texts by hash, then longer ones by length, of which the first counts if it is the only one
     order = rows.select("lang", F.when(F.col("size") > ROW_CHARS, F.col("size")).otherwise(0).alias("over"), "mix").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("over", "mix"))
-    order = order.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS + CHECK_TEXTS).filter("over = 0 or rank = 1")
+    # the first of each part of a language, and then the first of those, so that no task sees what all others have found
+    for by in (["lang", F.pmod("mix", F.lit(PARTS))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("over", "mix"))
+        order = order.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS + CHECK_TEXTS)
+    order = order.filter("over = 0 or rank = 1")
     # a few rows of some bytes for each label, so that no text but the sample's is dealt out
     few = rows.join(F.broadcast(order.select("lang", "mix", "rank")), ["lang", "mix"]).dropDuplicates(["lang", "mix"])
     texts: dict[str, list[str]] = {}
