@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import CatalogReadOnly, DuplicateName, NotNullViolation, ReservedName, UnsupportedError
-from tessera.operators.writing import check_new_files, check_new_keys, write_files
+from tessera.operators.writing import check_new_files, check_new_keys, overlapping, write_files
 from tessera.plans.analyzer import ROW_ID, assignable, insert_rows, output_columns, predicate
 from tessera.plans.ast import Delete, Expr, Insert, Update
 from tessera.plans.compiler import compiled, projected, spark_type
@@ -139,8 +139,27 @@ def delete(store: Store, catalog: Catalog, s: Delete) -> Effect:
     return Effect(replace(table, files=kept), count, rows)
 
 
-def append(store: Store, table: Table, df: DataFrame) -> Effect:
-    """Bulk insert of a DataFrame with the table's columns, by name; types must be those of the table once integers are widened."""
+def without_keys(store: Store, table: Table, files: tuple[DataFile, ...]) -> Table:
+    """The table without rows whose first key column has a value that is in new files; only files with such rows are rewritten."""
+    for k in table.key_columns[:1]:
+        near = overlapping(table, files, k)
+        if not near:
+            break
+        new = scan(store, replace(table, files=files)).select(f"c{k}")
+        found = scan(store, replace(table, files=near)).withColumn("_file", F.input_file_name()).join(new, f"c{k}", "left_semi")
+        hit = {"/".join(r[0].split("/")[-3:]) for r in found.select("_file").distinct().collect()}  # a row for each file
+        near = tuple(f for f in near if f.path in hit)
+        if near:
+            rest = scan(store, replace(table, files=near)).join(new, f"c{k}", "left_anti").select(*[f"c{i}" for i in range(len(table.columns))])
+            return replace(table, files=(*[f for f in table.files if f not in near], *write_files(store, table, rest, clustered(table))))
+    return table
+
+
+def append(store: Store, table: Table, df: DataFrame, replacing: bool = False) -> Effect:
+    """Bulk insert of a DataFrame with the table's columns, by name; types must be those of the table once integers are widened.
+
+    With ``replacing``, rows of the table whose first key column has a value among the new rows go; among themselves, those must differ.
+    """
     from tessera.errors import ColumnNotFound, TypeMismatch
     from tessera.sources.parquet import WIDENED
 
@@ -159,5 +178,7 @@ def append(store: Store, table: Table, df: DataFrame) -> Effect:
         for k in gaps:
             if missing[f"c{k}"]:
                 raise NotNullViolation(table.columns[k].name)
+    if replacing:
+        table = without_keys(store, table, files)
     check_new_files(store, table, files)
     return Effect(replace(table, files=(*table.files, *files)), sum(f.rows for f in files))

@@ -42,17 +42,20 @@ def holds(file: DataFile, k: int, values: set) -> bool:
     return any(lo <= v <= hi for v in values)
 
 
+def overlapping(table: Table, files: tuple[DataFile, ...], k: int) -> tuple[DataFile, ...]:
+    """The table's files whose range of a key column meets that of one of the new files."""
+    mine = [f.keys[str(k)] for f in files if str(k) in f.keys]
+    return tuple(f for f in table.files if str(k) in f.keys and any(f.keys[str(k)][0] <= hi and lo <= f.keys[str(k)][1] for lo, hi in mine))
+
+
 def check_new_files(store: Store, table: Table, files: tuple[DataFile, ...]) -> None:
     """Raise if a key in new files repeats in them or in the table's. Files whose key ranges lie apart aren't compared."""
     for k in table.key_columns:
         check_unique(table, scan(store, replace(table, files=files)), [k])
-        mine = [f.keys[str(k)] for f in files if str(k) in f.keys]
-        if not mine:
-            continue
-        meets = lambda f: str(k) in f.keys and any(f.keys[str(k)][0] <= hi and lo <= f.keys[str(k)][1] for lo, hi in mine)  # noqa: E731, B023
-        if not (old := tuple(f for f in table.files if meets(f))):
+        if not (old := overlapping(table, files, k)):
             continue
         c = F.col(f"c{k}")
+        mine = [f.keys[str(k)] for f in files if str(k) in f.keys]
         between = c.between(min(lo for lo, _ in mine), max(hi for _, hi in mine))
         there = scan(store, replace(table, files=old)).filter(between).select(c)
         hit = scan(store, replace(table, files=files)).filter(c.isNotNull()).select(c).join(there, f"c{k}", "left_semi").first()

@@ -356,3 +356,17 @@ def test_the_newest_index_decides_the_order_of_files(engine):
     engine.sql("CREATE INDEX i1 ON users (name)")
     engine.sql("CREATE INDEX i2 ON users (age)")
     assert clustered(engine.catalog.table("users")) == [2]
+
+
+def test_append_in_place_of_rows_with_the_same_key(spark, engine):
+    new = spark.createDataFrame([(2, "Bea", 5), (7, "Gus", None)], "id long, name string, age long")
+    with pytest.raises(errors.DuplicateKey):
+        engine.append("users", new)
+    assert engine.append("users", new, replacing=True).rows_affected == 2
+    assert rows(engine, "SELECT * FROM users ORDER BY id") == [(1, "Alice", 30), (2, "Bea", 5), (3, "Carol", 28), (7, "Gus", None)]
+    with pytest.raises(errors.DuplicateKey):  # new rows must differ among themselves
+        engine.append("users", new.unionAll(new), replacing=True)
+    engine.sql("CREATE UNIQUE INDEX ix ON users (name)")
+    with pytest.raises(errors.DuplicateKey):  # and in other unique columns from the rows that stay
+        engine.append("users", spark.createDataFrame([(1, "Gus", 1)], "id long, name string, age long"), replacing=True)
+    assert len(rows(engine, "SELECT * FROM users")) == 4
