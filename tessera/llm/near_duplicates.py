@@ -1,9 +1,10 @@
 """MinHash near-deduplication with SetSketch registers.
 
 A document's set are its distinct shingles of five words. Its sketch has ``REGISTERS`` registers of
-one byte: the least of exponentially distributed hashes of the set, on a scale of powers of
-``BASE``, truncated to a byte. The register of a union is the greater one, so sketches merge,
-and two sets agree in a register at least as often as they have elements in common.
+two bytes: the least of exponentially distributed hashes of the set, on a scale of powers of
+``BASE``, truncated to two bytes. The register of a union is the greater one, so sketches merge,
+and two sets agree in a register at least as often as they have elements in common. Powers lie so close
+that unlike sets hardly ever agree by chance.
 
 1. Rows with equal sets are one class; one row of each, with the smallest id, stands for it.
 2. Bands of ``ROWS`` registers are keys. In each bucket of the first ``FIRST_BANDS`` bands, the classes are paired with the bucket's
@@ -51,8 +52,8 @@ BANDS, ROWS = 32, 4
 FIRST_BANDS = 8
 BAND_BITS = 5
 REGISTERS = BANDS * ROWS
-#: The scale of the registers: minima of rate ``RATE`` in powers of ``BASE``, cut to 0..255.
-BASE, RATE = 1.1, 20.0
+#: The scale of the registers: minima of rate ``RATE`` in powers of ``BASE``, cut to 0..``MOST``.
+BASE, RATE, MOST = 1.001, 20.0, 65_535
 #: Pairs with a lower estimate are dropped: about five standard errors below the limit.
 LEAST_ESTIMATE = 0.55
 #: Classes of a block, and bytes of their compressed words; rows of small buckets that are compared in one call; bytes of full sets kept at a time.
@@ -115,7 +116,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """The sketches of sets that are not empty."""
     if not sets:
-        return np.empty((0, REGISTERS), np.uint8)
+        return np.empty((0, REGISTERS), "<u2")
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -131,7 +132,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
             part = (low[a : a + (1 << 15), None] * odd).min(axis=0)
             least[:, 0] = part if a == 0 else np.minimum(least[:, 0], part)
     x = -np.log1p(-(least.T + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, MOST).astype("<u2")
 
 
 def estimates(k1: np.ndarray, n1: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -214,8 +215,8 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SKETCHES)
 
 
-def _byte_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -226,7 +227,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                j = estimates(_byte_rows(batch.column("s_a")), batch.column("n_a").to_numpy(), _byte_rows(batch.column("s_b")), batch.column("n_b").to_numpy())
+                j = estimates(_rows_of(batch.column("s_a")), batch.column("n_a").to_numpy(), _rows_of(batch.column("s_b")), batch.column("n_b").to_numpy())
                 keep = pa.array(j >= LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(j).filter(keep)], names=["a", "b", "j"])
 
@@ -252,7 +253,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def bucket_keys(nodes: DataFrame, bands: int = BANDS) -> DataFrame:
     """``key`` for each band of each class, besides its columns but the sketch; a key's lowest bits are its band's number."""
-    hashed = lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS)))
+    hashed = lambda i: F.xxhash64(i, F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS)))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.shiftleft(hashed(i), BAND_BITS).bitwiseOR(i.cast("long")))
     return nodes.select("*", F.explode(band).alias("key")).drop("sketch", "m", "digest", "n", "first")
 
@@ -328,7 +329,7 @@ def residual_links(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(cell: pa.Table) -> pa.Table:
         key, ids, label, n, chunk = (cell.column(c).to_numpy() for c in ("key", "id", "label", "m", "chunk"))
-        sketch, words = _byte_rows(cell.column("sketch").combine_chunks()), cell.column("words").to_pylist()
+        sketch, words = _rows_of(cell.column("sketch").combine_chunks()), cell.column("words").to_pylist()
         out: list[tuple[int, int]] = []
         one = cell.column("c1")[0] == cell.column("c2")[0]
         order, sets = np.argsort(key, kind="stable"), Sets()
