@@ -43,3 +43,14 @@ def test_entry(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_without_the_training_data_operators():
+    """The engine's queries stay where the subpackage, or a library that it needs, is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.engine_queries.queries()), 'flagship' in e.oracle_sql())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == ["True", "True"], out.stderr
