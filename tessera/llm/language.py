@@ -262,12 +262,11 @@ class Identifier:
             return None
         r = np.random.default_rng(7)
         mixed = ["".join(np.array(list(t))[r.permutation(len(t))]) for t in real]
-        a, b = (float(np.median(self.matches(x))) for x in (mixed, real))
+        a, b = (float(np.median(self.matches(*symbols(x)))) for x in (mixed, real))
         return a + MARGIN * (b - a)
 
-    def matches(self, texts: list[str]) -> np.ndarray:
+    def matches(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Mean symbols in a phrase of each text for all samples together."""
-        flat, starts = symbols(texts)
         sizes = np.diff(np.concatenate((starts, [len(flat)]))) - 1
         return sizes / np.maximum(self.every.phrases(flat, starts)[:, 0], 1)
 
@@ -287,22 +286,18 @@ class Identifier:
         odds = np.exp(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True)))
         return [self.labels[b] if n else UNDETERMINED for b, n in zip(bits.argmin(axis=1), sizes, strict=True)], np.where(sizes > 0, 1 / odds.sum(axis=1), 0.0).tolist()
 
-    def known(self, texts: list[str | None]) -> tuple[list[bool], list[str]]:
-        """Whether each text is in a known language, and its label."""
-        label, _ = self.predict(texts)
+    def known(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text is in a known language; which one is left to ``predict``."""
         if not self.labels or not texts:
-            return [False] * len(texts), label
+            return [False] * len(texts)
         plain = ["" if t is None else t for t in texts]
         flat, starts = symbols(plain)
         sizes = np.diff(np.concatenate((starts, [len(flat)]))) - 1
-        out = []
-        for t, k, match, n in zip(plain, label, self.matches(plain).tolist(), sizes.tolist(), strict=True):
-            ok = match >= self.least
-            if n < ENOUGH:
-                letters = [c for c in t.lower() if c.isalpha()]
-                ok = any(2 * sum(c in known for c in letters) >= len(letters) for known in self.letters)
-            out.append(ok and k != UNDETERMINED)
-        return out, label
+        out = (sizes > 0) & (self.matches(flat, starts) >= self.least)
+        for k in np.flatnonzero((sizes > 0) & (sizes < ENOUGH)).tolist():
+            letters = [c for c in plain[k].lower() if c.isalpha()]
+            out[k] = any(2 * sum(c in known for c in letters) >= len(letters) for known in self.letters)
+        return out.tolist()
 
 
 def identify(docs: DataFrame, samples: tuple[Sample, ...]) -> DataFrame:
@@ -327,10 +322,14 @@ def in_known_language(docs: DataFrame, samples: tuple[Sample, ...]) -> DataFrame
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", STEP):
-                keep, label = tool.known(batch.column("text").to_pylist())
+                batch = batch.filter(pa.array(tool.known(batch.column("text").to_pylist()), pa.bool_()))
+                # only texts without a label are parsed for each language; the decision above doesn't need it
                 if (at := batch.schema.get_field_index("lang")) >= 0 and batch.column(at).null_count:
-                    given = [k if g is None else g for g, k in zip(batch.column(at).to_pylist(), label, strict=True)]
+                    given, texts = batch.column(at).to_pylist(), batch.column("text")
+                    missing = [k for k, g in enumerate(given) if g is None]
+                    for k, found in zip(missing, tool.predict(texts.take(pa.array(missing)).to_pylist())[0], strict=True):
+                        given[k] = found
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(given, batch.schema.field(at).type))
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                yield batch
 
     return docs.mapInArrow(run, docs.schema)

@@ -142,3 +142,14 @@ def test_short_documents_pass(spark):
     short = ["b", "B.", "ñ", "ü!", "o", "ver", "quez", "rl\u00f3z", "bñ"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*short, "Ж", "жзи", "漢字", "1", None])], "doc_id long, text string")
     assert {r.text for r in L.in_known_language(docs, samples).collect()} == set(short)
+
+
+def test_labels_are_looked_for_only_where_missing(spark):
+    """Judging texts needs no parse for each language; labels go to the right rows between given ones and rows that go."""
+    tool = L.Identifier(samples_of())
+    tool.parser = None
+    assert tool.known([text("aa", 60, 1), "жзи " * 60, None, "12", "b", "Ж", text("cc", 60, 2)]) == [True, False, False, False, True, False, True]
+    langs = sorted(SOUNDS)
+    rows = [(k, "жзи " * 60 if k % 5 == 0 else text(langs[k % 3], 40, 50 + k), None if k % 2 else "given") for k in range(40)]
+    got = L.in_known_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), samples_of()).collect()
+    assert {r.doc_id: (r.text, r.lang) for r in got} == {k: (t, g or langs[k % 3]) for k, t, g in rows if k % 5}
