@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 #: Keys that are joined from a broadcast table because of their many rows: no more than this.
 HOT_KEYS = 2000
+#: Rows of a file where a bound of all rows is known.
+FILE_ROWS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +67,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``most`` is about how many rows it has at most; then the last stage has no more tasks, and files, than that needs.
+    On a local file system without Hadoop's native library executors start a process for each file and its checksum.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -28,13 +28,13 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("m") != F.col("v")).select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """For links (a, b), a < b: ``id`` and ``label``, the least node it reaches, for each node that isn't that itself."""
-    links = stage(links.select("a", "b").distinct(), "links")
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """For links (a, b), a < b, ``most`` at most: ``id`` and ``label``, the least node it reaches, for each node that isn't that itself."""
+    links = stage(links.select("a", "b").distinct(), "links", most)
     fingerprint = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before = fingerprint(links)
     while before[0]:
-        step = stage(_star(_star(links, True), False), "links")
+        step = stage(_star(_star(links, True), False), "links", before[0])  # a star has no more links than there were
         after = fingerprint(step)
         unstage(links)
         links = step

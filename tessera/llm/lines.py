@@ -200,12 +200,13 @@ def cuts_of(rows: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     found = stage(occurrences(rows, digest_bytes), "chunks")
     total = found.count()
     repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "a")).alias("first")).filter("n > 1")
-    repeated = stage(repeated, "repeated")
+    repeated = stage(repeated, "repeated", total // 2)
     again = joined_by_count(found, repeated, "digest", total)
     spots = again.select("id", "h", "a", "z", (F.struct("id", "h", "a") == F.col("first")).alias("first"))
     # a document's own chunks; rows that are the same document give the same ones
-    spots = stage(spots.groupBy("id", "h").agg(F.collect_set(F.struct("a", "z", "first")).alias("spots")), "spots")
-    asked = marked(rows, spots, spots.count()).filter("_maybe").drop("_maybe").join(spots, ["id", "h"])
+    spots = stage(spots.groupBy("id", "h").agg(F.collect_set(F.struct("a", "z", "first")).alias("spots")), "spots", total)
+    touched = spots.count()
+    asked = marked(rows, spots, touched).filter("_maybe").drop("_maybe").join(spots, ["id", "h"])
     seen = stage(looked_at(asked, digest_bytes), "seen")
     bodies = seen.filter("body is not null").select("digest", "body").distinct()
     differing = stage(bodies.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1"), "differing")
@@ -213,12 +214,12 @@ def cuts_of(rows: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     places = seen.filter("body is null")
     firsts = places.filter("first").groupBy("digest").agg(F.first("before").alias("b0"), F.first("after").alias("a0")).join(repeated.select("digest", "n"), "digest")
     later = places.filter("not first").select("id", "h", "a", "z", "digest", "before", "after")
-    later = joined_by_count(later, stage(firsts, "firsts"), "digest", total)
+    later = joined_by_count(later, stage(firsts, "firsts", total // 2), "digest", total)
     if not beside:  # two bodies of one digest: such chunks stay, and no line goes for what stands beside it
         later = later.join(differing.select("digest"), "digest", "left_anti")
     reach = lambda mine, first: beside_first(mine, first) if beside else F.lit(0)
     cut = F.struct((F.col("a") - reach("before", "b0")).alias("a"), (F.col("z") + reach("after", "a0")).alias("z"))
-    cuts = stage(later.groupBy("id", "h").agg(F.collect_set(cut).alias("cuts")), "cuts")
+    cuts = stage(later.groupBy("id", "h").agg(F.collect_set(cut).alias("cuts")), "cuts", touched)
     for done in (found, spots, seen, differing):
         unstage(done)
     return cuts

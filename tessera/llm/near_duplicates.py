@@ -271,8 +271,10 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: those of the components' labels, put in for the labels."""
+    if not (n := links.count()):
+        return labels
     between = across(links, labels).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    more = stage(components(between), "labels")
+    more = stage(components(between, n), "labels")
     moved = labels.join(more.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
     return stage(moved.unionByName(more.join(labels.select("id"), "id", "left_anti")), "labels")
 
@@ -346,7 +348,7 @@ def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "uid")).alias("first")
     # equal sets have equal sizes and sketches
     nodes = rows.filter("m > 0").groupBy("digest").agg(first, F.count("*").alias("n"), F.max("m").alias("m"), F.first("sketch").alias("sketch"))
-    nodes = stage(nodes.withColumn("id", F.col("first.uid")), "nodes")
+    nodes = stage(nodes.withColumn("id", F.col("first.uid")), "nodes", rows.count())
     labels = _components_of(nodes, rows.select(F.col("uid").alias("id"), "words"))
     # labels are the least of the ids, which are any numbers; a component's first row is that of the smallest doc_id
     whole = labels.select("id", "label").unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
@@ -376,7 +378,7 @@ def _components_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Components of classes (id, m, sketch) with texts (id, words): ``id`` and ``label`` where they differ."""
     keys = bucket_keys(nodes.select("id", "sketch"))
     # texts of the classes that share a bucket with another; the only time that texts are dealt out by id
-    shared = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1"), "buckets")
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1"), "buckets", nodes.count() * BANDS // 2)
     total = shared.agg(F.sum("n")).first()[0] or 0
     asked = keys.join(shared.select("key"), "key", "left_semi").select("id").distinct()
     classes = stage(texts.join(asked, "id").join(nodes.select("id", "m", "sketch"), "id"), "texts")
@@ -385,12 +387,12 @@ def _components_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     stars = joined_by_count(early, shared, "key", total).filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     likely = stage(estimated(stars, classes), "likely")
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b")
-    labels = stage(components(verified(first, classes)), "labels")
+    labels = stage(components(verified(first, classes), likely.count()), "labels")
     rest = across(likely.join(first, ["a", "b"], "left_anti"), labels)
     labels = joined(labels, stage(verified(rest, classes), "links"))
 
     late = bucket_keys(labelled(classes.select("id", "sketch"), "id", labels))
-    mixed = stage(mixed_buckets(late), "mixed")
+    mixed = stage(mixed_buckets(late), "mixed", total // 2)
     each = late.groupBy("key", "label").agg(F.min("id").alias("b")).join(mixed, "key", "left_semi")
     stars = each.join(each.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a != b").select("a", "b").distinct()
     labels = joined(labels, stage(verified(estimated(stars, classes), classes), "links"))

@@ -146,3 +146,19 @@ def test_connected_components(spark):
                 todo += near[x]
     got = {x.id: x.label for x in components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
     assert got == {k: v for k, v in least.items() if k != v}
+
+
+def test_few_links_take_few_files(spark):
+    """Whatever the number of shuffle partitions, rounds of components write no more files than their links need."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(k, k + 1) for k in range(200) if k % 10 != 9], "a long, b long")
+        got = components(links)
+        assert len(got.inputFiles()) == 1
+        assert {(r.id, r.label) for r in got.collect()} == {(k, k // 10 * 10) for k in range(200) if k % 10}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
