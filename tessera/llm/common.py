@@ -94,9 +94,11 @@ def joined_by_count(left: DataFrame, right: DataFrame, key: str, total: int) ->
     """Inner join on ``key``, of which ``right`` has one row each with ``n``, the rows of ``left`` that have it, ``total`` in all.
 
     Keys with more than a ``HOT_KEYS``-th of all rows can't be more than that many, so they are
-    broadcast, and no task gets all rows of one.
+    broadcast, and no task gets all rows of one. ``right`` is read for that, so it is to be staged.
     """
     many = max(1000, total // HOT_KEYS)
+    if right.filter(F.col("n") > many).isEmpty():
+        return left.join(right, key)
     hot, rest = F.broadcast(right.filter(F.col("n") > many)), right.filter(F.col("n") <= many)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
 

@@ -2,14 +2,43 @@
 
 Each step is a minimum per node and a join, so a node with very many links is summed up in
 parts and its join can be split. The links are written to the shared folder after each step.
+
+A few links, ``TASK_LINKS`` at most, are left to one task instead, which joins sets: each step of the stars is some ten exchanges,
+and for each of these Spark's driver keeps a thread for a minute.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, unstage
+from tessera.llm.common import ship, stage, unstage
+
+#: Links that one task takes.
+TASK_LINKS = 50_000
+
+
+def _by_sets(links: DataFrame) -> DataFrame:
+    """``id`` and ``label`` of few links, by one task: of two sets that a link joins, the one with the greater least node goes to the other."""
+    ship(links.sparkSession)
+
+    def run(batches):
+        above: dict[int, int] = {}
+
+        def least(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if (x := least(a)) != (y := least(b)):
+                    above[max(x, y)] = min(x, y)
+        ids = sorted(above)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([least(x) for x in ids], pa.int64())], names=["id", "label"])
+
+    return links.coalesce(1).mapInArrow(run, "id long, label long")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +62,10 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
     links = stage(links.select("a", "b").distinct(), "links", most)
     fingerprint = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before = fingerprint(links)
+    if before[0] <= TASK_LINKS:
+        labels = stage(_by_sets(links), "sets")
+        unstage(links)
+        return labels
     while before[0]:
         step = stage(_star(_star(links, True), False), "links", before[0])  # a star has no more links than there were
         after = fingerprint(step)

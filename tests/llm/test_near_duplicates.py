@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tessera.llm import components as components_module
 from tessera.llm import near_duplicates as N
 from tessera.llm.components import components
 from tests.llm.helpers import documents, empty, hard_texts, words
@@ -162,3 +163,26 @@ def test_few_links_take_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("limit", [components_module.TASK_LINKS, -1])
+def test_components_by_one_task_and_by_stars(spark, monkeypatch, limit):
+    monkeypatch.setattr(components_module, "TASK_LINKS", limit)
+    big = 1 << 40
+    links = [(k, k + 1) for k in range(60) if k % 20 != 19] + [(70, 90), (80, 90), (75, 80)] + [(-5, 3), (big, big + 2), (big + 1, big + 2)] + [(100, k) for k in range(101, 130)]
+    got = sorted((x.id, x.label) for x in components(spark.createDataFrame(links + links[:9], "a long, b long")).collect())
+    want = [(k, k // 20 * 20 if k >= 20 else -5) for k in range(60) if k not in (20, 40)] + [(75, 70), (80, 70), (90, 70)]
+    want += [(k, 100) for k in range(101, 130)] + [(big + 1, big), (big + 2, big)]
+    assert got == sorted(want)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """Rounds of exchanges for a handful of links would each leave threads in the driver."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(200) if k % 50 != 49], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        assert components(links).count() == 196
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 8
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
