@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, ship, slices, stage
+from tessera.llm.common import FILE_ROWS, doc_text, ship, slices, stage
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a hash bucket, about.
@@ -353,6 +353,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(at)], names=[*keys, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    # no more tasks, and files of whoever writes this, than so many rows need
+    ranked = ranked.coalesce(max(1, -(-total // FILE_ROWS)))
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 

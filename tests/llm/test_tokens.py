@@ -92,6 +92,22 @@ def test_packing_holds_every_piece_once(spark, library, extra):
     assert packing.packed_documents(empty(spark), BYTE).count() == 0
 
 
+def test_few_pieces_take_few_files(spark, tmp_path):
+    """Whatever the number of shuffle partitions, a result is written in no more files than its rows need."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = documents(spark, [words(k, k) for k in range(1, 60)])
+        packing.packed_documents(docs, BYTE).write.parquet(f"{tmp_path}/out")
+        assert len(list((tmp_path / "out").glob("*.parquet"))) == 1
+        assert spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_search_keeps_pieces_and_never_adds_bins(lengths):
